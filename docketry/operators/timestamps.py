@@ -188,11 +188,11 @@ def estimate_zones(df: DataFrame, value: str, feed: str, arrival: str, zones: tu
     own = lags.select("feed", "lag", "n")
     # LAG_HOURS + 2 rows, hence the hint
     every = lags.groupBy("lag").agg(F.sum("n").alias("all_n"))
-    whole = counts.join(own, ["feed", "lag"], "left").join(F.broadcast(every), "lag", "left")
+    every = every.withColumn("share", F.col("all_n") / F.sum("all_n").over(Window.partitionBy(F.lit(0))))
     totals = lags.groupBy("feed").agg(F.sum("n").alias("feed_total"))
-    whole = whole.join(totals, "feed", "left")
-    n, all_n = F.coalesce("n", F.lit(0)), F.coalesce("all_n", F.lit(0))
-    p = (n + PRIOR_ROWS * (all_n + 0.5) / (F.max(all_n).over(Window.partitionBy("feed")) * 10 + LAG_HOURS)) / (F.coalesce("feed_total", F.lit(0)) + PRIOR_ROWS)
+    whole = counts.join(own, ["feed", "lag"], "left").join(F.broadcast(every), "lag", "left").join(totals, "feed", "left")
+    prior = F.coalesce("share", F.lit(0.0)) + 0.001
+    p = (F.coalesce("n", F.lit(0)) + PRIOR_ROWS * prior) / (F.coalesce("feed_total", F.lit(0)) + PRIOR_ROWS)
     whole = whole.withColumn("p", p)
     cost = F.when(F.col("lag") < 0, F.lit(VIOLATION)).otherwise(-F.log("p")) * F.col("rows")
     costs = whole.groupBy("feed", "month", "zone").agg(F.sum(cost).alias("cost"))
