@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import packing, tokens
+from docketry.llm import near_duplicates, packing, tokens
 from docketry.session import table
 
 CAPACITY = 2048
 
 
+#: Opinions are alike if they share at least half of their runs of three words.
+OPINIONS_ALIKE = near_duplicates.Likeness(run=3, share=(1, 2))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every opinion and the number of other texts its text was linked to."""
+    out = near_duplicates.groups(table(spark, d, "court_opinions"), "opinion_id", "full_text", OPINIONS_ALIKE)
+    return out.withColumnRenamed("id", "opinion_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of opinions in the same group."""
+    rows = p2_groups(spark, d).select("opinion_id", "group_id")
+    # groups of one have no pair and need not be shuffled twice
+    several = rows.groupBy("group_id").agg(F.count("*").alias("n")).filter("n > 1").select("group_id")
+    rows = rows.join(several, "group_id")
+    a, b = rows.withColumnRenamed("opinion_id", "opinion_a"), rows.withColumnRenamed("opinion_id", "opinion_b")
+    return a.join(b, "group_id").filter("opinion_a < opinion_b").select("opinion_a", "opinion_b")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, d, "documents"))
@@ -38,7 +58,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_packed(spark, d), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_ids, p6_round_trip, p7_containers, p7_fill)}
 
 ORACLE = {
     "p6_round_trip": "SELECT TRUE AS same, count(*) AS n_docs FROM documents",
