@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import near_duplicates, packing, tokens
+from docketry.llm import name_links, near_duplicates, packing, tokens
+from docketry.operators.latest import latest_by
 from docketry.session import table
 
 CAPACITY = 2048
@@ -31,6 +32,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "group_id").filter("opinion_a < opinion_b").select("opinion_a", "opinion_b")
 
 
+def _actors(spark: SparkSession, d: str):
+    actors = table(spark, d, "accountability_actors")
+    return name_links.entities(actors, "actor_id", [F.col("role"), F.col("jurisdiction")], F.col("display_name"), [F.col("bar_number"), F.col("badge_number"), F.col("prosecutor_id")])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The registered judge that cases and findings name, and the first row of every actor's entity."""
+    rows, forms, weights = _actors(spark, d)
+    out = rows.filter("entity != id").select(F.lit("actors").alias("src"), F.col("id").alias("rec_id"), F.col("entity").alias("actor_id"))
+    named = None
+    for src, name, key, order in (("cases", "court_cases", "case_id", "inserted_at"), ("findings", "constitutional_findings", "finding_id", "ingested_at")):
+        held = latest_by(table(spark, d, name), key, [F.col(order)], {"judge": F.col("judge"), "jurisdiction": F.col("jurisdiction")})
+        held = held.select(F.lit(src).alias("src"), F.col("_key").alias("rec_id"), "judge", "jurisdiction")
+        named = held if named is None else named.unionByName(held)
+    scope = [F.lit("judge"), F.col("jurisdiction")]
+    judges = forms.filter(F.startswith("scope", F.lit("judge\x1f")))
+    found = name_links.match(name_links.spellings(named, scope, F.col("judge")), judges, weights)
+    keyed = named.withColumn("scope", F.concat_ws("\x1f", *scope))
+    linked = keyed.join(found, (keyed.scope == found.scope) & (keyed.judge == found.text)).select("src", "rec_id", F.col("entity").alias("actor_id"))
+    return out.unionByName(linked)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, d, "documents"))
@@ -58,7 +81,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_packed(spark, d), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p6_ids, p6_round_trip, p7_containers, p7_fill)}
 
 ORACLE = {
     "p6_round_trip": "SELECT TRUE AS same, count(*) AS n_docs FROM documents",
