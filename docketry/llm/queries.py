@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import name_links, near_duplicates, packing, tokens
+from docketry.llm import abuse, name_links, near_duplicates, packing, tokens
 from docketry.operators.latest import latest_by
 from docketry.session import table
 
@@ -81,7 +81,23 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_packed(spark, d), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document and whether it holds a toxic passage."""
+    docs = table(spark, d, "documents")
+    return abuse.score(docs, abuse.fit(docs, table(spark, d, "labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a toxic passage."""
+    return p8_scores(spark, d).filter("toxic").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Toxic documents per source."""
+    return abuse.rates(table(spark, d, "documents"), p8_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_scores, p8_rates)}
 
 ORACLE = {
     "p6_round_trip": "SELECT TRUE AS same, count(*) AS n_docs FROM documents",
