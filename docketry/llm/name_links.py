@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,26 +180,28 @@ def entities(rows: DataFrame, id_col: str, scope: list[Column], text: Column, nu
     return out, forms_out, weights
 
 
-def _vetoed(weights: dict[str, float]):
-    """Best entity of every query form, or none if several fit."""
-    weight = lambda t: weights.get(t, weights[""])
+def _scored(weights: dict[str, float]):
+    """Likeness of every pair, and whether the two names contradict each other."""
+    rare = weights[""]
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        q = N.from_form(rows["form_a"].iloc[0])
-        best: dict[str, float] = {}
-        against: set[str] = set()
-        for form, entity in zip(rows["form_b"], rows["entity"], strict=True):
-            m = N.from_form(form)
-            s = N.likeness(q, m, weight)
-            if N.contradict(q, m):
-                against.add(entity)
-            best[entity] = max(best.get(entity, 0.0), s)
-        found = sorted(((s, e) for e, s in best.items() if s >= LINK and e not in against), reverse=True)
-        one = found and (len(found) == 1 or found[0][0] - found[1][0] >= MARGIN)
-        columns = ["scope", "form", "entity"]
-        return pd.DataFrame([(rows["scope"].iloc[0], rows["form_a"].iloc[0], found[0][1])] if one else [], columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str, N.Name] = {}
+        weight = lambda t: weights.get(t, rare)
+        for batch in batches:
+            score, against = [], []
+            for a, b in zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True):
+                x, y = read.get(a), read.get(b)
+                if x is None:
+                    x = read[a] = N.from_form(a)
+                if y is None:
+                    y = read[b] = N.from_form(b)
+                s = N.likeness(x, y, weight)
+                score.append(s)
+                against.append(s < 1 and N.contradict(x, y))
+            columns = [batch.column("scope"), batch.column("form_a"), batch.column("entity"), pa.array(score, pa.float64()), pa.array(against, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["scope", "form", "entity", "score", "against"])
 
-    return solve
+    return run
 
 
 def match(queries: DataFrame, registry: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -211,5 +214,9 @@ def match(queries: DataFrame, registry: DataFrame, weights: dict[str, float]) ->
     forms = queries.groupBy("scope", "form").agg(F.first("grams").alias("grams"))
     pairs = candidates(forms, registry, gram_order(registry.select("grams")))
     named = pairs.join(registry.select("scope", F.col("form").alias("form_b"), "entity"), ["scope", "form_b"])
-    found = named.groupBy("scope", "form_a").applyInPandas(_vetoed(weights), "scope string, form string, entity string")
+    scored = named.select("scope", "form_a", "form_b", "entity").mapInArrow(_scored(weights), "scope string, form string, entity string, score double, against boolean")
+    fits = scored.groupBy("scope", "form", "entity").agg(F.max("score").alias("score"), F.bool_or("against").alias("against")).filter((F.col("score") >= LINK) & ~F.col("against"))
+    ranked = fits.groupBy("scope", "form").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "entity")))).alias("e"))
+    clear = (F.size("e") == 1) | (F.col("e")[0]["score"] - F.try_element_at("e", F.lit(2))["score"] >= MARGIN)
+    found = ranked.filter(clear).select("scope", "form", F.col("e")[0]["entity"].alias("entity"))
     return queries.join(found, ["scope", "form"]).select("scope", "text", "entity")
