@@ -24,7 +24,7 @@ from docketry.session import materialize
 #: Jaccard similarity of the q-grams below which spellings are not compared.
 GRAM_SHARE = 0.3
 #: Soft weighted token similarity that links two spellings, and how much nearer the best of several must be.
-LINK, MARGIN = 0.78, 0.06
+LINK, MARGIN = 0.75, 0.05
 
 
 @F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
@@ -196,7 +196,8 @@ def _scored(weights: dict[str, float]):
                 if y is None:
                     y = read[b] = N.from_form(b)
                 s = N.likeness(x, y, weight)
-                score.append(s)
+                # a registered initial says less of a full name than a registered full name does
+                score.append(s - 0.1 if s and N.rank(y) < 2 <= N.rank(x) else s)
                 against.append(s < 1 and N.contradict(x, y))
             columns = [batch.column("scope"), batch.column("form_a"), batch.column("entity"), pa.array(score, pa.float64()), pa.array(against, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["scope", "form", "entity", "score", "against"])

@@ -189,7 +189,7 @@ def given_closeness(a: str, b: str) -> float:
     with one whose short form does."""
     if len(a) == 1 or len(b) == 1:
         (own_a, short_a), (own_b, short_b) = letters_of(a), letters_of(b)
-        return 0.9 if own_a & own_b else 0.75 if own_a & short_b or short_a & own_b else 0.0
+        return 0.9 if own_a & own_b else 0.55 if own_a & short_b or short_a & own_b else 0.0
     best = max(closeness(x, y) - (0.12 if x[0] != y[0] else 0.0) for x in forms_of(a) for y in forms_of(b))
     return best if best >= GIVEN_CLOSE else 0.0
 
