@@ -14,6 +14,11 @@ POST_NOMINALS = ("j", "jj", "cj", "js")
 LABELS = ("before:", "panel:", "coram:", "judges:", "judge:", "opinion by:", "opinion by", "author:")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value written and computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _array(words: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -24,9 +29,12 @@ def _words(text: Column) -> Column:
 
 def _drop_front(tokens: Column, is_title) -> Column:
     """tokens without those in front for which is_title holds: the kept part starts at the first other one."""
-    others = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: ~is_title(F.get(tokens, i)))
-    first = F.coalesce(F.try_element_at(others, F.lit(1)), F.size(tokens))
-    return F.slice(tokens, first + 1, F.greatest(F.size(tokens) - first, F.lit(0)))
+    def from_first(t: Column) -> Column:
+        marks = F.transform(t, lambda x: ~is_title(x))
+        first = F.array_position(marks, True).cast("int")
+        return F.when(first > 0, F.slice(t, first, F.size(t))).otherwise(F.array().cast("array<string>"))
+
+    return once(tokens, from_first)
 
 
 def _bare(token: Column) -> Column:
@@ -71,17 +79,20 @@ def split_names(text: Column) -> Column:
 
 def _segment(segment: Column) -> Column:
     """The names of one part, or null where its commas can be read in several ways."""
-    pieces = F.filter(F.transform(F.split(segment, ","), F.trim), lambda p: normalize_name(p) != "")
-    counts = F.transform(pieces, lambda p: F.size(F.split(normalize_name(p), " ")))
-    single, n = F.forall(counts, lambda c: c == 1), F.size(pieces)
-    shown = F.transform(pieces, display_name)
-    turned = F.array(display_name(F.concat_ws(" ", F.get(pieces, F.lit(1)), F.get(pieces, F.lit(0)))))
-    return (
-        F.when(n <= 1, F.array(display_name(segment)))
-        .when(single & (n >= 3), shown)
-        .when(single, F.lit(None).cast("array<string>"))
-        .when((n == 2) & (F.get(counts, F.lit(0)) == 1), turned)
-    )
+    pieces = F.transform(F.split(segment, ","), lambda p: once(F.trim(p), lambda q: F.struct(q.alias("text"), normalize_name(q).alias("norm"))))
+
+    def read(p: Column) -> Column:
+        counts = F.transform(p, lambda x: F.size(F.split(x["norm"], " ")))
+        single, n = F.forall(counts, lambda c: c == 1), F.size(p)
+        turned = F.array(display_name(F.concat_ws(" ", F.get(p, F.lit(1))["text"], F.get(p, F.lit(0))["text"])))
+        return (
+            F.when(n <= 1, F.array(display_name(segment)))
+            .when(single & (n >= 3), F.transform(p, lambda x: display_name(x["text"])))
+            .when(single, F.lit(None).cast("array<string>"))
+            .when((n == 2) & (F.get(counts, F.lit(0)) == 1), turned)
+        )
+
+    return once(F.filter(pieces, lambda x: x["norm"] != ""), read)
 
 
 def parse_officials(raw: Column) -> Column:
@@ -92,20 +103,19 @@ def parse_officials(raw: Column) -> Column:
     result = lambda kind, names, reason: F.struct(F.lit(kind).alias("kind"), names.alias("names"), reason.alias("reason"))
     none = F.array().cast("array<string>")
 
-    def read(c: Column) -> Column:
-        marker = collective_marker(c)
-        found = F.transform(split_names(c), _segment)
+    def of_parts(c: Column, found: Column) -> Column:
         unclear = F.exists(found, lambda x: x.isNull())
         names = F.filter(F.flatten(F.filter(found, lambda x: x.isNotNull())), lambda x: normalize_name(x) != "")
-        return (
-            F.when(c == "", result("collective", none, F.lit("the field is empty")))
-            .when(marker.isNotNull(), result("collective", none, F.concat(marker, F.lit(" names the court, not an individual"))))
-            .when(unclear, result("ambiguous", none, F.lit("a part is either one name written surname first or several names")))
-            .when(F.size(names) == 0, result("collective", none, F.lit("no name remained after titles were removed")))
-            .otherwise(result("individuals", names, F.lit(None).cast("string")))
+        told = lambda k: F.when(F.size(k) == 0, result("collective", none, F.lit("no name remained after titles were removed"))).otherwise(result("individuals", k, F.lit(None).cast("string")))
+        return F.when(unclear, result("ambiguous", none, F.lit("a part is either one name written surname first or several names"))).otherwise(once(names, told))
+
+    def read(c: Column) -> Column:
+        marked = lambda m: F.when(m.isNotNull(), result("collective", none, F.concat(m, F.lit(" names the court, not an individual")))).otherwise(
+            once(F.transform(split_names(c), _segment), lambda found: of_parts(c, found))
         )
+        return F.when(c == "", result("collective", none, F.lit("the field is empty"))).otherwise(once(collective_marker(c), marked))
 
-    return F.element_at(F.transform(F.array(clean), read), 1)
+    return once(clean, read)
 
 
 def fingerprint(role: Column, normalized: Column, jurisdiction: Column, bar: Column, badge: Column) -> Column:

@@ -112,3 +112,26 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p3_found, p3_zone_estimates, p5_found, p5_report)}
+
+_TREE = """WITH RECURSIVE r AS (SELECT lower(trim(court_id)) AS id, nullif(lower(trim(parent_court)), '') AS p, row_number() OVER (PARTITION BY lower(trim(court_id)) ORDER BY refreshed_at DESC, parent_court DESC NULLS LAST) AS rn FROM court_registry),
+l AS (SELECT a.id, b.id AS parent FROM (SELECT * FROM r WHERE rn = 1) a LEFT JOIN (SELECT * FROM r WHERE rn = 1) b ON a.p = b.id),
+w AS (SELECT id, id AS at, parent AS nxt, [id] AS seen, 0 AS steps FROM l UNION ALL SELECT w.id, l.id, l.parent, list_append(w.seen, l.id), w.steps + 1 FROM w JOIN l ON w.nxt = l.id WHERE NOT list_contains(w.seen, w.nxt)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY steps DESC) AS k FROM w) WHERE k = 1) """
+_REFS = """WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at DESC) AS rn FROM constitutional_findings) WHERE rn = 1),
+i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ingested_at DESC) AS rn FROM disclosed_evidence_items) WHERE rn = 1),
+refs AS (SELECT 'constitutional_findings' AS src_table, 'case_id' AS src_field, finding_id AS rec_id, 'court_cases' AS parent, case_id AS ref, created_at AS at_ FROM f UNION ALL SELECT 'constitutional_findings', 'actor_id', finding_id, 'accountability_actors', actor_id, created_at FROM f
+UNION ALL SELECT 'constitutional_findings', 'prosecutor_id', finding_id, 'prosecutors', prosecutor_id, created_at FROM f UNION ALL SELECT 'disclosed_evidence_items', 'case_id', item_id, 'court_cases', case_id, created_at FROM i),
+keyed AS (SELECT *, regexp_replace(lower(ref), '[^0-9a-f]', '', 'g') AS k FROM refs WHERE trim(ref) <> ''),
+par AS (SELECT parent, regexp_replace(lower(ref), '[^0-9a-f]', '', 'g') AS k, min(since) AS since FROM (SELECT 'court_cases' AS parent, case_id AS ref, inserted_at AS since FROM court_cases UNION ALL SELECT 'accountability_actors', actor_id, created_at FROM accountability_actors UNION ALL SELECT 'prosecutors', prosecutor_id, created_at FROM prosecutors) GROUP BY ALL),
+s AS (SELECT r.*, CASE WHEN p.k IS NULL THEN 'missing' WHEN p.since > r.at_ THEN 'late' END AS ref_state FROM keyed r LEFT JOIN par p ON r.parent = p.parent AND r.k = p.k) """
+
+ORACLE = {
+    "p1_found": _TREE + "SELECT id AS court_id, list_min(list_slice(seen, list_position(seen, nxt), len(seen))) AS cycle_id FROM f WHERE nxt IS NOT NULL",
+    "p1_hierarchy": _TREE
+    + ", n AS (SELECT a AS id, count(*) AS n FROM (SELECT unnest(list_slice(seen, 2, len(seen))) AS a FROM f WHERE nxt IS NULL) GROUP BY 1) SELECT f.id AS court_id, l.parent AS parent_court, CASE WHEN nxt IS NULL THEN seen[len(seen)] END AS root, CASE WHEN nxt IS NULL THEN steps::INTEGER END AS depth, CASE WHEN nxt IS NULL THEN array_to_string(list_reverse(seen), '/') END AS path, "
+    + "CASE WHEN nxt IS NOT NULL THEN list_min(list_slice(seen, list_position(seen, nxt), len(seen))) END AS cycle_id, coalesce(nxt = f.id, false) AS on_cycle, CASE WHEN nxt IS NULL THEN coalesce(n, 0) END AS n_descendants FROM f JOIN l ON l.id = f.id LEFT JOIN n ON n.id = f.id",
+    "p1_descendants": _TREE + "SELECT a AS court_id, id AS descendant_id, (k - 1)::INTEGER AS distance FROM (SELECT id, unnest(seen) AS a, generate_subscripts(seen, 1) AS k FROM f WHERE nxt IS NULL) WHERE k > 1",
+    "p5_found": _REFS + "SELECT src_table, src_field, rec_id, ref_state FROM s WHERE ref_state IS NOT NULL",
+    "p5_report": _REFS
+    + "SELECT src_table, src_field, strftime(at_, '%Y-%m') AS month, count(*) AS n_refs, count(*) FILTER (WHERE ref_state = 'missing') AS n_missing, count(*) FILTER (WHERE ref_state = 'late') AS n_late FROM s GROUP BY ALL",
+}
