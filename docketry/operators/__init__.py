@@ -1 +1 @@
-"""."""
+"""Distributed operators over DataFrames."""

@@ -1 +1 @@
-"""."""
+"""Queries over a data folder."""

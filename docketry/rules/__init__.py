@@ -1 +1 @@
-"""."""
+"""The rule language and its compiler."""

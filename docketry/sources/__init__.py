@@ -1 +1 @@
-"""."""
+"""Readers of feeds and pages, fixtures, and what leaves the engine."""

@@ -1 +1 @@
-"""."""
+"""Incremental ingestion and event-time operators."""
