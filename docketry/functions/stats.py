@@ -50,9 +50,10 @@ def pearson(x: Column, y: Column) -> tuple[Column, Column]:
     Pairs with a null are left out; the correlation is null under four pairs or where a side does not vary."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    n = F.count(x)
-    varies = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return n, F.when((n >= 4) & varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(x, y))))
+    n, spread = F.count(x), F.stddev_pop(x) * F.stddev_pop(y)
+    # corr() itself divides by zero where a side does not vary
+    r = F.covar_pop(x, y) / F.when(spread > 0, spread)
+    return n, F.when((n >= 4) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def fisher_interval(r: Column, n: Column) -> Column:
