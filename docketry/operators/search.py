@@ -43,7 +43,8 @@ def _postings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 terms.append(s)
                 places.append(p)
                 lengths.append(len(all_))
-        yield pd.DataFrame({"id": ids, "term": terms, "places": places, "length": lengths})
+        if ids:
+            yield pd.DataFrame({"id": ids, "term": terms, "places": places, "length": lengths})
 
 
 def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

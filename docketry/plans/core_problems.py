@@ -24,9 +24,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Path, depth, root, cycle and number of courts beneath, for every court."""
+    """Path, depth, root, cycle and number of courts beneath, for every court. Counts that may be null are doubles, which
+    both engines hand over alike."""
     tree = H.with_descendant_counts(_courts(spark, d))
-    return tree.select(F.col("id").alias("court_id"), F.col("parent").alias("parent_court"), "root", "depth", F.array_join("path", "/").alias("path"), "cycle_id", "on_cycle", "n_descendants")
+    return tree.select(F.col("id").alias("court_id"), F.col("parent").alias("parent_court"), "root", F.col("depth").cast("double"), F.array_join("path", "/").alias("path"), "cycle_id", "on_cycle", F.col("n_descendants").cast("double"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -128,8 +129,8 @@ s AS (SELECT r.*, CASE WHEN p.k IS NULL THEN 'missing' WHEN p.since > r.at_ THEN
 ORACLE = {
     "p1_found": _TREE + "SELECT id AS court_id, list_min(list_slice(seen, list_position(seen, nxt), len(seen))) AS cycle_id FROM f WHERE nxt IS NOT NULL",
     "p1_hierarchy": _TREE
-    + ", n AS (SELECT a AS id, count(*) AS n FROM (SELECT unnest(list_slice(seen, 2, len(seen))) AS a FROM f WHERE nxt IS NULL) GROUP BY 1) SELECT f.id AS court_id, l.parent AS parent_court, CASE WHEN nxt IS NULL THEN seen[len(seen)] END AS root, CASE WHEN nxt IS NULL THEN steps::INTEGER END AS depth, CASE WHEN nxt IS NULL THEN array_to_string(list_reverse(seen), '/') END AS path, "
-    + "CASE WHEN nxt IS NOT NULL THEN list_min(list_slice(seen, list_position(seen, nxt), len(seen))) END AS cycle_id, coalesce(nxt = f.id, false) AS on_cycle, CASE WHEN nxt IS NULL THEN coalesce(n, 0) END AS n_descendants FROM f JOIN l ON l.id = f.id LEFT JOIN n ON n.id = f.id",
+    + ", n AS (SELECT a AS id, count(*) AS n FROM (SELECT unnest(list_slice(seen, 2, len(seen))) AS a FROM f WHERE nxt IS NULL) GROUP BY 1) SELECT f.id AS court_id, l.parent AS parent_court, CASE WHEN nxt IS NULL THEN seen[len(seen)] END AS root, CASE WHEN nxt IS NULL THEN steps::DOUBLE END AS depth, CASE WHEN nxt IS NULL THEN array_to_string(list_reverse(seen), '/') END AS path, "
+    + "CASE WHEN nxt IS NOT NULL THEN list_min(list_slice(seen, list_position(seen, nxt), len(seen))) END AS cycle_id, coalesce(nxt = f.id, false) AS on_cycle, CASE WHEN nxt IS NULL THEN coalesce(n, 0)::DOUBLE END AS n_descendants FROM f JOIN l ON l.id = f.id LEFT JOIN n ON n.id = f.id",
     "p1_descendants": _TREE + "SELECT a AS court_id, id AS descendant_id, (k - 1)::INTEGER AS distance FROM (SELECT id, unnest(seen) AS a, generate_subscripts(seen, 1) AS k FROM f WHERE nxt IS NULL) WHERE k > 1",
     "p5_found": _REFS + "SELECT src_table, src_field, rec_id, ref_state FROM s WHERE ref_state IS NOT NULL",
     "p5_report": _REFS

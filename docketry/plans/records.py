@@ -452,10 +452,10 @@ def payload_hash_sha256(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("event_id", hashing.payload_hash(F.col("payload")).alias("payload_hash"))
 
 
-@query("SELECT count(*) AS entries, TRUE AS valid, CAST(NULL AS BIGINT) AS first_bad_seq FROM events")
+@query("SELECT count(*) AS entries, TRUE AS valid, 0::BIGINT AS first_bad_seq FROM events")
 def ledger_verify_lag(spark: SparkSession, d: str) -> DataFrame:
-    """A ledger of all events, appended in order and verified."""
-    return ledger.verify(ledger.append(_events(spark, d), ["event_id"]))
+    """A ledger of all events, appended in order and verified; 0 for no bad entry."""
+    return ledger.verify(ledger.append(_events(spark, d), ["event_id"])).na.fill(0, ["first_bad_seq"])
 
 
 @query("WITH e AS (SELECT max(event_id) // 2 AS middle FROM events) SELECT count(*) AS entries, FALSE AS valid, (SELECT count(*) FROM events, e WHERE event_id <= middle)::BIGINT AS first_bad_seq FROM events")
