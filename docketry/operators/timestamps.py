@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.session import materialize
+
 # Zone abbreviations and their offsets in minutes.
 ABBREVIATIONS = {
     "Z": 0, "UT": 0, "UTC": 0, "GMT": 0,
@@ -46,9 +48,10 @@ _FAMILIES = (
 )
 
 
-def zone_names(spark) -> list[str]:
-    """The zone names the JVM knows."""
-    return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
+def zone_names(spark) -> Column:
+    """The zone names the JVM knows, as one array. It is split from one literal, which keeps plans small."""
+    names = sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return F.split(F.lit("|".join(names)), r"\|")
 
 
 def _fields(text: Column) -> Column:
@@ -74,7 +77,7 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _parsed(f: Column, names: list[str]) -> Column:
+def _parsed(f: Column, names: Column) -> Column:
     """The struct of parse() from the fields of a value."""
     year = _number(f[0]) + F.when(F.length(f[0]) == 2, 2000).otherwise(0)
     half, hour = F.substring(f[7], 1, 1), _number(f[3])
@@ -92,14 +95,13 @@ def _parsed(f: Column, names: list[str]) -> Column:
     part = lambda i: F.regexp_extract(zone, signed, i)
     minutes = F.coalesce(_number(part(2)), F.lit(0)) * 60 + F.coalesce(_number(part(3)), F.lit(0))
     table = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k.lower()), F.lit(v))])
-    proper = F.create_map(*[x for z in names for x in (F.lit(z.lower()), F.lit(z))])
     offset = F.when(zone.rlike(signed), F.when(minutes <= 1080, F.when(part(1) == "-", -minutes).otherwise(minutes))).when(~named, F.try_element_at(table, zone))
-    name = F.when(named, F.try_element_at(proper, zone))
+    name = F.when(named, F.try_element_at(F.filter(names, lambda n: F.lower(n) == zone), F.lit(1)))
     meant = (zone == "") | offset.isNotNull() | name.isNotNull()
     return F.when(meant & local.isNotNull(), F.struct(local.alias("local"), F.when(zone != "", offset).alias("offset"), name.alias("zone"), dated.alias("dated"), F.lit(None).cast("timestamp_ntz").alias("instant")))
 
 
-def parse(value: Column, names: list[str]) -> Column:
+def parse(value: Column, names: Column) -> Column:
     """struct(local, offset, zone, dated, instant) of a written value; null where it is null, blank, meaningless or
     impossible (a 31st of June, hour 25, an unknown zone).
 
@@ -118,8 +120,8 @@ def parse(value: Column, names: list[str]) -> Column:
     return _once(clean, lambda t: F.when(t.rlike(r"^\d{9,20}$"), numeric(t)).otherwise(_once(_fields(t), lambda f: _parsed(f, names))))
 
 
-def _instant(parsed: Column, zone: Column, names: list[str]) -> Column:
-    known = F.when(zone.isin(names), zone)
+def _instant(parsed: Column, zone: Column, names: Column) -> Column:
+    known = F.when(F.array_contains(names, zone), zone)
     local, offset = parsed["local"], parsed["offset"]
     return (
         F.when(parsed["instant"].isNotNull(), parsed["instant"])
@@ -129,15 +131,25 @@ def _instant(parsed: Column, zone: Column, names: list[str]) -> Column:
     )
 
 
+def parsed(df: DataFrame, value: str, out: str = "written") -> DataFrame:
+    """The rows of df whose value can be read, with out, the struct of parse()."""
+    read = F.filter(F.array(parse(F.col(value), zone_names(df.sparkSession))), lambda p: p.isNotNull())
+    # generated, not projected: a later filter is then not pushed into another copy of the expression
+    return df.select("*", F.explode(read).alias(out))
+
+
 def instants(df: DataFrame, value: str, zone: str, out: str = "utc") -> DataFrame:
     """The rows of df whose value denotes a time, with out, its instant, as a timestamp_ntz in UTC.
 
     A written offset, name or abbreviation overrides the zone column. A date alone is midnight UTC. Of a local time that
     occurs twice the first is meant, a skipped one moves on by the skipped hour. Values that are null, blank, meaningless
     or impossible give no row, nor do local times whose zone is null, blank or unknown."""
-    names = zone_names(df.sparkSession)
-    at = _once(parse(F.col(value), names), lambda p: _instant(p, F.col(zone), names))
-    # generated, not projected: a later filter is then not pushed into another copy of the expression
+    return resolved(parsed(df, value, "_w"), "_w", zone, out).drop("_w")
+
+
+def resolved(df: DataFrame, written: str, zone: str, out: str = "utc") -> DataFrame:
+    """Rows of parsed() whose instant is known, with out: see instants()."""
+    at = _instant(F.col(written), F.col(zone), zone_names(df.sparkSession))
     return df.select("*", F.explode(F.filter(F.array(at), lambda x: x.isNotNull())).alias(out))
 
 
@@ -171,18 +183,24 @@ def estimate_zones(df: DataFrame, value: str, feed: str, arrival: str, zones: tu
 
     Values with a written zone show how long a feed's records take to arrive, in whole hours up to LAG_HOURS; where it has
     few, those of all feeds count as PRIOR_ROWS more. A local time costs, under a zone, the negative logarithm of the
-    share of that lag; one that would come after its own arrival is a
-    violation and costs VIOLATION. A change of zone costs switch_cost. Costs are added up per feed, month and zone before
+    share of that lag; one that would come after its own arrival is a violation and costs VIOLATION. A change of zone costs switch_cost. Costs are added up per feed, month and zone before
     anything is grouped, so a feed with a third of all rows is a few rows here. Dates alone and null arrivals say
     nothing; feeds with no local time have no row."""
     rows = df.select(F.col(feed).alias("feed"), F.col(value).alias("value"), F.col(arrival).cast("timestamp_ntz").alias("arrival"))
-    rows = rows.filter(F.col("arrival").isNotNull())
-    names = zone_names(df.sparkSession)
-    w = rows.select("feed", "arrival", F.explode(F.filter(F.array(parse(F.col("value"), names)), lambda p: p.isNotNull() & ~p["dated"])).alias("_w"))
+    return zone_histories(parsed(rows.filter(F.col("arrival").isNotNull()), "value", "_w"), zones, switch_cost)
+
+
+def zone_histories(rows: DataFrame, zones: tuple[str, ...] = CANDIDATE_ZONES, switch_cost: float = 12.0, wanted: DataFrame | None = None) -> DataFrame:
+    """estimate_zones() of rows that are parsed: (feed, arrival, _w), for the feeds of wanted alone if it is given."""
+    names = zone_names(rows.sparkSession)
+    w = rows.filter(F.col("arrival").isNotNull() & ~F.col("_w.dated"))
     has_zone = F.col("_w.instant").isNotNull() | F.col("_w.offset").isNotNull() | F.col("_w.zone").isNotNull()
     bin_of = lambda at: F.least(F.lit(LAG_HOURS), F.greatest(F.lit(-1), F.floor(F.timestamp_diff("SECOND", at, F.col("arrival")) / 3600.0).cast("int")))
     lags = w.filter(has_zone).groupBy("feed", bin_of(_instant(F.col("_w"), F.lit("UTC"), names)).alias("lag")).agg(F.count("*").alias("n"))
-    local = w.filter(~has_zone & F.col("feed").isNotNull()).withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
+    local = w.filter(~has_zone & F.col("feed").isNotNull())
+    if wanted is not None:
+        local = local.join(wanted, "feed", "left_semi")
+    local = local.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
     local = local.withColumn("lag", bin_of(F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("_w.local"))))
     counts = local.groupBy("feed", F.date_format("arrival", "yyyy-MM").alias("month"), "zone", "lag").agg(F.count("*").alias("rows"))
     own = lags.select("feed", "lag", "n")
@@ -200,10 +218,14 @@ def estimate_zones(df: DataFrame, value: str, feed: str, arrival: str, zones: tu
 
 
 def with_estimated_zones(df: DataFrame, value: str, zone: str, feed: str, arrival: str) -> DataFrame:
-    """df with the zone column filled from the feed's estimated history where it is null or blank."""
+    """The rows of df whose value can be read, with _w (see parse()) and the zone column filled from the feed's estimated
+    history where it is null or blank. Values are read once, into a table in the shared folder."""
+    read = materialize(parsed(df, value, "_w"), "written")
     blank = F.col(zone).isNull() | (F.trim(F.col(zone)) == "")
-    found = estimate_zones(df, value, feed, arrival).select(F.col("feed").alias("_feed"), F.col("month").alias("_month"), F.col("zone").alias("_zone"))
+    rows = read.select(F.col(feed).alias("feed"), F.col(arrival).cast("timestamp_ntz").alias("arrival"), "_w")
+    wanted = read.filter(blank).select(F.col(feed).alias("feed")).distinct()
+    found = zone_histories(rows, wanted=wanted).select(F.col("feed").alias("_feed"), F.col("month").alias("_month"), F.col("zone").alias("_zone"))
     on = (F.col(feed) == F.col("_feed")) & (F.date_format(F.col(arrival), "yyyy-MM") == F.col("_month"))
     # only rows that lack a zone meet the histories
-    filled = df.filter(blank).join(found, on, "left").withColumn(zone, F.col("_zone")).drop("_feed", "_month", "_zone")
-    return df.filter(~blank).unionByName(filled)
+    filled = read.filter(blank).join(found, on, "left").withColumn(zone, F.col("_zone")).drop("_feed", "_month", "_zone")
+    return read.filter(~blank).unionByName(filled)

@@ -37,10 +37,10 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 # -- 3. written times -----------------------------------------------------------------------------------------------
 
-#: src, table, key, value, arrival and feed of the written times.
+#: src, table, key, value, arrival and feed of the written times. Opinions name no feed; their court level stands in.
 WRITTEN = (
     ("entries", "feed_entries", "entry_id", "published", "fetched_at", "court_id"),
-    ("opinions", "court_opinions", "opinion_id", "date_issued", "ingested_at", "case_id"),
+    ("opinions", "court_opinions", "opinion_id", "date_issued", "ingested_at", "court_level"),
     ("cases", "court_cases", "case_id", "filed", "inserted_at", "source_court_id"),
 )
 
@@ -56,8 +56,8 @@ def _written(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The instant of every record whose value denotes a time; zones that are missing are estimated."""
-    rows = T.instants(T.with_estimated_zones(_written(spark, d), "value", "zone", "feed", "arrival"), "value", "zone")
-    return rows.filter(F.col("utc").isNotNull()).select("src", "rec_id", T.utc_text(F.col("utc")).alias("utc_text"))
+    rows = T.resolved(T.with_estimated_zones(_written(spark, d), "value", "zone", "feed", "arrival"), "_w", "zone")
+    return rows.select("src", "rec_id", T.utc_text(F.col("utc")).alias("utc_text"))
 
 
 def p3_zone_estimates(spark: SparkSession, d: str) -> DataFrame:

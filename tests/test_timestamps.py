@@ -74,6 +74,7 @@ def test_missing_zones_are_estimated_from_arrivals(spark):
     assert found[("Pacific/Honolulu", "2024-03")] == "Pacific/Honolulu" and found[("Pacific/Honolulu", "2024-10")] == "America/Chicago"
     filled = T.with_estimated_zones(df, "v", "z", "feed", "arrival")
     assert filled.count() == df.count() and filled.filter("z is null").count() == 0
+    assert T.resolved(filled, "_w", "z").count() == df.count()
 
 
 def test_empty_tables(spark):
