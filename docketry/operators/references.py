@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.session import materialize
+
 #: Leading hexadecimal digits that name a slice of key space, which so holds 65,536 keys at most.
 SLICE_DIGITS = 28
 #: Salts over which the rows of one referred key are spread when states are joined back.
@@ -21,9 +23,17 @@ def hex_key(col: Column) -> Column:
     """The hexadecimal digits of a written key, lower case; null for null and blank.
 
     A value without exactly 32 digits equals no key and is marked by a question mark."""
-    digits = F.lower(F.regexp_replace(col, r"[^0-9A-Fa-f]", ""))
+    low = F.translate(F.lower(col), "-{} ", "")
+    # most keys are plain: told without a regular expression
+    plain = (F.length(low) == 32) & (F.translate(low, "0123456789abcdef", "") == "")
+    digits = F.regexp_replace(low, "[^0-9a-f]", "")
     blank = F.length(F.regexp_replace(col, r"[\s\u00a0]+", "")) == 0
-    return F.when(~blank, F.when(F.length(digits) == 32, digits).otherwise(F.concat(F.lit("?"), digits)))
+    return F.when(plain, low).when(~blank, F.when(F.length(digits) == 32, digits).otherwise(F.concat(F.lit("?"), digits)))
+
+
+def _with_key(rows: DataFrame) -> DataFrame:
+    """rows with key, the key that ref writes; blank references are dropped. Generated, so that it is computed once."""
+    return rows.select("*", F.explode(F.filter(F.array(hex_key(F.col("ref"))), lambda k: k.isNotNull())).alias("key"))
 
 
 def _offset(key: Column) -> Column:
@@ -71,7 +81,8 @@ def reference_states(refs: DataFrame, parents: DataFrame) -> DataFrame:
     w = Window.partitionBy("parent", "slice").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, 0)
     matched = both.withColumn("run", F.last("run", ignorenulls=True).over(w)).filter("side = 1")
     matched = matched.withColumn("found", F.coalesce(F.col("run.stop") >= F.col("key"), F.lit(False)))
-    suspects = matched.filter(~F.col("found") | (F.col("run.newest") > F.col("first_at")))
+    suspects = matched.filter(~F.col("found") | (F.col("run.newest") > F.col("first_at"))).select("parent", "key", "run", "first_at", "found")
+    suspects = materialize(suspects, "suspects")  # few keys, read twice
     single = ~F.col("found") | (F.col("run.start") == F.col("run.stop"))
     sure = suspects.filter(single).select("parent", "key", "found", F.when(F.col("found"), F.col("run.newest")).alias("since"))
     # in a longer run newest may be another key's time
@@ -88,9 +99,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     (src_table, src_field, rec_id, at, ref_state) with `missing` where no such key exists and `late` where the key came
     after the row that refers to it. A null or blank ref is no reference; a null time is never late; an empty parent
     table makes every reference missing; repeated rows are the caller's to dedupe."""
-    keyed = refs.select("src_table", "src_field", "rec_id", "parent", hex_key(F.col("ref")).alias("key"), "at")
-    keyed = keyed.filter(F.col("key").isNotNull())
-    states = reference_states(keyed, parents.select("parent", hex_key(F.col("ref")).alias("key"), "since"))
+    keyed = _with_key(refs.select("src_table", "src_field", "rec_id", "parent", "ref", "at")).drop("ref")
+    states = reference_states(keyed, _with_key(parents.select("parent", "ref", "since")).drop("ref"))
     # The problem keys are few; the rows of one key are spread over salts, so that no task gets a hot key whole.
     salted = states.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = keyed.withColumn("salt", F.pmod(F.xxhash64("rec_id", "src_field"), F.lit(SALTS)).cast("int"))
@@ -105,7 +115,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
 def orphan_report(orphans: DataFrame, refs: DataFrame) -> DataFrame:
     """References, missing and late ones, per table, field and month of the referring row; a null time is month null."""
     month = F.date_format("at", "yyyy-MM").alias("month")
-    total = refs.filter(hex_key(F.col("ref")).isNotNull()).groupBy("src_table", "src_field", month).agg(F.count("*").alias("n_refs"))
+    total = _with_key(refs).groupBy("src_table", "src_field", month).agg(F.count("*").alias("n_refs"))
     bad = orphans.groupBy("src_table", "src_field", month).agg(F.count_if(F.col("ref_state") == "missing").alias("n_missing"), F.count_if(F.col("ref_state") == "late").alias("n_late"))
     on = (total.src_table == bad.src_table) & (total.src_field == bad.src_field) & total.month.eqNullSafe(bad.month)
     return total.join(bad, on, "left").select(total.src_table, total.src_field, total.month, "n_refs", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_missing", "n_late")])
