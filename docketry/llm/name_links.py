@@ -196,8 +196,8 @@ def _scored(weights: dict[str, float]):
                 if y is None:
                     y = read[b] = N.from_form(b)
                 s = N.likeness(x, y, weight)
-                # a registered initial says less of a full name than a registered full name does
-                score.append(s - 0.1 if s and N.rank(y) < 2 <= N.rank(x) else s)
+                # a registered spelling that says less than the typed one is a worse witness than one that says as much
+                score.append(s - 0.06 if s and N.rank(y) < min(N.rank(x), 2) else s)
                 against.append(s < 1 and N.contradict(x, y))
             columns = [batch.column("scope"), batch.column("form_a"), batch.column("entity"), pa.array(score, pa.float64()), pa.array(against, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["scope", "form", "entity", "score", "against"])

@@ -194,8 +194,8 @@ def given_closeness(a: str, b: str) -> float:
     return best if best >= GIVEN_CLOSE else 0.0
 
 
-#: How close two typed surnames, given names and words of bodies must be to be one.
-SURNAME_CLOSE, GIVEN_CLOSE, WORD_CLOSE = 0.72, 0.6, 0.74
+#: How close two typed surnames, given names, words of bodies, and whole bodies must be to be one.
+SURNAME_CLOSE, GIVEN_CLOSE, WORD_CLOSE, BODY_CLOSE = 0.72, 0.6, 0.74, 0.82
 
 
 def likeness(a: Name, b: Name, weight) -> float:
@@ -206,7 +206,8 @@ def likeness(a: Name, b: Name, weight) -> float:
     if a.kind != b.kind or a.kind == "nobody":
         return 0.0
     if a.kind == "body":
-        return min(_covered(a.words, b.words, weight), _covered(b.words, a.words, weight))
+        both = min(_covered(a.words, b.words, weight), _covered(b.words, a.words, weight))
+        return both if both >= BODY_CLOSE else 0.0
     last = closeness(a.surname, b.surname)
     if last < SURNAME_CLOSE or (a.suffix and b.suffix and a.suffix != b.suffix):
         return 0.0
