@@ -33,7 +33,9 @@ ROUNDS = 3
 #: Words added to a passage's length, so that one or two words alone score little.
 SHORT = 2.0
 #: Words of a stretch of a passage that is scored like a passage.
-STRETCH = 8
+STRETCHES = (5, 8)
+#: A word is known if it is in two labelled documents, or one of so many: names are not.
+KNOWN_SHARE = 1500
 #: Weight of an ordinary document in choosing the threshold: toxic ones are more frequent among labels than in a corpus.
 ORDINARY_WEIGHT = 4.0
 
@@ -203,11 +205,11 @@ class Model:
         each = ratio[back]
         out = np.bincount(p.seg, each, minlength=p.n) / (p.length + SHORT)
         # a long passage may be two that no sign sets apart: its worst stretch counts as a passage
-        if len(each) >= STRETCH:
-            sums = np.cumsum(np.concatenate([[0.0], each]))
-            stretch = (sums[STRETCH:] - sums[:-STRETCH]) / (STRETCH + SHORT)
-            within = p.seg[STRETCH - 1 :] == p.seg[: len(p.seg) - STRETCH + 1]
-            np.maximum.at(out, p.seg[STRETCH - 1 :][within], stretch[within])
+        sums = np.cumsum(np.concatenate([[0.0], each]))
+        for k in STRETCHES:
+            if len(each) >= k:
+                within = p.seg[k - 1 :] == p.seg[: len(p.seg) - k + 1]
+                np.maximum.at(out, p.seg[k - 1 :][within], ((sums[k:] - sums[:-k]) / (k + SHORT))[within])
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -234,14 +236,15 @@ def train(ids: list, texts: list[str | None], toxic: list[int]) -> Model:
     order = np.argsort([str(i) for i in ids], kind="stable")
     texts, y = [texts[i] for i in order], np.array([bool(toxic[i]) for i in order], bool)
     p = Passages(texts, TRAIN_CHARS)
-    # words of two documents or more, tricks undone by the words that are written plainly
+    # words of several documents, tricks undone by the words that are written plainly
+    least = max(2, len(texts) // KNOWN_SHARE)
     for known in (None, {}):
         seen = known if known is None else {w: 0 for w in vocabulary}
         spelled = [undone(w, seen) for w in p.words]
         pairs = pd.DataFrame({"w": p.code, "d": p.doc}).drop_duplicates()
         pairs = pairs.assign(w=np.array(spelled, object)[pairs["w"].to_numpy()] if len(pairs) else []).drop_duplicates()
         n = pairs.groupby("w").size() if len(pairs) else pd.Series(dtype=int)
-        vocabulary = sorted(w for w, k in n.items() if k >= 2 and w not in ("#", "*") and w not in _END)
+        vocabulary = sorted(w for w, k in n.items() if k >= least and w not in ("#", "*") and w not in _END)
     model = Model({w: i + FIRST_WORD for i, w in enumerate(vocabulary)})
     if y.all() or not y.any() or not p.n:
         model.threshold = np.inf
