@@ -182,6 +182,8 @@ def near_pairs(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, lik
             far = np.zeros((pa_[ra].size, pb_[rb].size), np.uint16 if a.shape[0] < 1000 else np.uint32)
             for w in range(a.shape[0]):
                 far += np.bitwise_count(a[w, ra, None] ^ b[w, None, rb])
+                if 2 * w >= a.shape[0] and far.min() > most // scale:
+                    break  # no pair of the tile can come back under the limit
             limit, scale = like.radius(na[ra, None] + nb[None, rb])
             i_, j_ = np.nonzero(far <= limit // scale)
             keep = (j_ + j > i_ + i) if same else slice(None)
