@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import forum, geo, hashing, names, text
 from docketry.operators import cases as C
-from docketry.operators import evidence, ledger, register, search, simulate, upsert
+from docketry.operators import evidence, ledger, pipeline, register, search, simulate, upsert
 from docketry.plans.catalogs import FORUMS, RULES
 from docketry.plans.statistics import _sql_cell
 from docketry.plans.views import AS_OF, sql, view
@@ -420,6 +420,68 @@ def court_placement(spark: SparkSession, d: str) -> DataFrame:
     return C.placed(cases, placed, tuple(c for c, _ in FORUMS)).groupBy("forum", "forum_method").agg(F.count("*").alias("n"))
 
 
+# -- the run of a case ----------------------------------------------------------------------------------------------
+
+
+def _links(spark: SparkSession, d: str):
+    return pipeline.actor_links(view(spark, d, "cases", "judge", "jurisdiction", "prosecutor_id"), _actors(spark, d))
+
+
+@query()
+def actor_link_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Links between officials and cases, per actor and role."""
+    return _links(spark, d)[0].groupBy("actor_id", "role_in_case").agg(F.count("*").alias("n_cases"))
+
+
+@query()
+def unresolved_officials(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that name no one person, by reason: the 500 most frequent."""
+    q = _links(spark, d)[1].groupBy("raw", "kind", "reason").agg(F.count("*").alias("n"))
+    return q.orderBy(F.desc("n"), "raw").limit(500)
+
+
+@query()
+def public_record_actors(spark: SparkSession, d: str) -> DataFrame:
+    """Officials that public records name, one per fingerprint."""
+    return pipeline.public_actors(view(spark, d, "prosecutors", "name", "jurisdiction"), view(spark, d, "cases", "judge", "jurisdiction")).select("role", "display_name", "jurisdiction", "fingerprint")
+
+
+@query()
+def pipeline_runs(spark: SparkSession, d: str) -> DataFrame:
+    """All six stages over all cases: the number of cases by status and by what was found."""
+    c = view(spark, d, "cases", *CONTEXT, "source_court_id")
+    r = table(spark, d, "court_registry").groupBy(F.lower(F.trim("court_id")).alias("court_id")).agg(F.max_by(F.struct("source_class", "full_name", "citation_string"), "refreshed_at").alias("r"))
+    courts = r.select("court_id", forum.derive(F.col("court_id"), F.col("r.source_class"), F.col("r.full_name"), F.col("r.citation_string"), FORUMS).alias("f")).select("court_id", "f.*")
+    none = spark.createDataFrame([], "actor_id string, prosecutor_id string, label string, review_status string")
+    scores = register.scores(_actors(spark, d).select("actor_id", "prosecutor_id"), _findings(spark, d), none, AS_OF)
+    opinions = view(spark, d, "opinions", "case_id", "full_text").filter("case_id is not null")
+    runs = pipeline.run_cases(_context(spark, d), C.placed(c, courts, tuple(x for x, _ in FORUMS)), opinions, view(spark, d, "disclosed", "case_id", "item_type", "description"), _links(spark, d)[0], scores, RULES)
+    return runs.groupBy("status").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in ("screen_hits", "n_leads", "n_gaps", "n_flags", "n_links")])
+
+
+#: Statutes and the finding types that each answers.
+_STATUTES = (("deprivation", ["brady", "giglio", "due_process"]), ("discrimination", ["batson"]), ("perjury", ["witness_subornation"]))
+
+
+@query(
+    sql("findings")
+    + ", s(statute, types) AS (VALUES ('deprivation', ['brady', 'giglio', 'due_process']), ('discrimination', ['batson']), ('perjury', ['witness_subornation'])), t AS (SELECT DISTINCT office, finding_type FROM findings WHERE review_status = 'substantiated' AND office IS NOT NULL) SELECT DISTINCT office, statute FROM t JOIN s ON list_contains(types, finding_type)"
+)
+def statute_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Statutes that answer any finding type of an office: the overlap of two lists as an equi-join of their elements."""
+    statutes = spark.createDataFrame(_STATUTES, "statute string, types array<string>").select("statute", F.explode("types").alias("finding_type"))
+    f = register.gated(view(spark, d, "findings", "office", "finding_type", "review_status")).filter("office is not null").select("office", "finding_type").distinct()
+    return f.join(statutes, "finding_type").select("office", "statute").distinct()
+
+
+@query(sql("findings") + "SELECT office, array_to_string(list_sort(list(DISTINCT review_status || '=' || n)), ';') AS by_status FROM (SELECT office, review_status, count(*) AS n FROM findings WHERE office IS NOT NULL AND review_status IS NOT NULL GROUP BY ALL) GROUP BY office")
+def status_map(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of every office by state, as a map written out."""
+    f = view(spark, d, "findings", "office", "review_status").dropna(subset=["office", "review_status"]).groupBy("office", "review_status").agg(F.count("*").alias("n"))
+    m = f.groupBy("office").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("review_status", "n")))).alias("m"))
+    return m.select("office", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("by_status"))
+
+
 # -- grid, ledger, simulation ---------------------------------------------------------------------------------------
 
 

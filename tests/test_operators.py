@@ -142,3 +142,26 @@ def test_reports_and_public_views(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.public_view("pipeline_runs")
     assert df.select(sinks.escape_html(F.lit("<a href='x'>&\"")).alias("h")).first()["h"] == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"
+
+
+def test_runs_of_cases(spark, as_rows):
+    from docketry.operators import pipeline
+
+    c = fixtures.demo_cases(spark).withColumn("source_court_id", F.lit("x"))
+    actors = spark.createDataFrame([("s", "judge", "CA", "Smith", None), ("n", "judge", "CA", "Hon. Nguyen", None), ("p", "prosecutor", "CA", "Demo Prosecutor", "p1")], "actor_id string, role string, jurisdiction string, display_name string, prosecutor_id string")
+    links, queue = pipeline.actor_links(c.unionByName(c.limit(1).withColumn("case_id", F.lit("q")).withColumn("judge", F.lit("Smith, John"))), actors)
+    assert as_rows(links.filter("role_in_case = 'judge'").select("case_id", "actor_id")) == [("c0", "s"), ("c1", "s"), ("c3", "n")]
+    assert as_rows(links.filter("role_in_case = 'prosecutor'").select("case_id")) == [("c0",), ("c1",), ("c2",), ("q",)]
+    assert as_rows(queue.select("case_id", "kind")) == [("q", "ambiguous")]
+    _, opinions = fixtures.fixture_poll(spark)
+    disclosed = spark.createDataFrame([("c0", "bodycam", "footage")], "case_id string, item_type string, description string")
+    scores = spark.createDataFrame([("s", 28.0), ("p", 12.0)], "actor_id string, score double")
+    runs = pipeline.run_cases(cases.context(c, fixtures.demo_prosecutors(spark)), c.select("case_id", F.lit("CA").alias("forum")), opinions.withColumn("case_id", F.lit("c0")), disclosed, links, scores, RULES)
+    got = {r["case_id"]: r for r in runs.collect()}
+    assert got["c0"]["status"] == "ok" and got["c0"]["n_gaps"] == got["c0"]["n_leads"] - 1 and got["c0"]["best_score"] == 28.0 and got["c0"]["n_flags"] == 3
+    assert got["c3"]["status"] == "partial" and [s["status"] for s in got["c3"]["stages"]] == ["ok", "ok", "skipped", "ok", "ok", "skipped"]
+    total = pipeline.summary(runs).first()
+    assert total["by_status"] == {"ok": 1, "partial": 3} and total["runs"] == 4
+    assert pipeline.public_actors(fixtures.demo_prosecutors(spark), c).count() == 5
+    again = runs.withColumn("at", F.lit(1)).unionByName(runs.withColumn("at", F.lit(2)))
+    assert pipeline.latest_runs(again, "at").filter("at = 2").count() == 4
