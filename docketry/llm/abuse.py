@@ -23,11 +23,11 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents a model is trained on at most, taken by a hash of their id, and characters of each of them.
-LABELLED, TRAIN_CHARS = 6_000, 20_000
+#: Labelled documents a model is trained on at most, taken by a hash of their id, and characters of them all together.
+LABELLED, LABELLED_CHARS = 6_000, 40_000_000
 #: Rounds in which passages of toxic documents may change sides.
 ROUNDS = 3
 #: Words added to a passage's length, so that one or two words alone score little.
@@ -80,13 +80,12 @@ def undone(word: str, known: dict[str, int] | None) -> str:
 class Passages:
     """Words of a batch of texts in order: their text (doc), passage (seg) and raw word (code into words)."""
 
-    def __init__(self, texts: list[str | None], chars: int | None = None):
+    def __init__(self, texts: list[str | None]):
         found: list[str] = []
         lens = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if not t:
                 continue
-            t = t[:chars] if chars else t
             if not t.isascii():
                 t = t.translate(_ZERO_WIDTH)
             words = _WORD.findall(_APART.sub(lambda m: re.sub(r"[ ._-]", "", m[0]), t))
@@ -235,7 +234,7 @@ def train(ids: list, texts: list[str | None], toxic: list[int]) -> Model:
     """A model from labelled documents; without documents of both classes it flags nothing."""
     order = np.argsort([str(i) for i in ids], kind="stable")
     texts, y = [texts[i] for i in order], np.array([bool(toxic[i]) for i in order], bool)
-    p = Passages(texts, TRAIN_CHARS)
+    p = Passages(texts)
     # words of several documents, tricks undone by the words that are written plainly
     least = max(2, len(texts) // KNOWN_SHARE)
     for known in (None, {}):
@@ -274,11 +273,15 @@ def train(ids: list, texts: list[str | None], toxic: list[int]) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> pd.DataFrame:
-    """At most LABELLED labelled documents, by a hash of their id; null labels and texts are left out."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter("toxic is not null").dropDuplicates(["id"])
+    """Labelled documents in the order of a hash of their id, whole: LABELLED at most, and as many as have LABELLED_CHARS
+    characters together. Null labels and texts are left out; of several labels of a document the largest holds."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     first = known.orderBy(F.xxhash64("id"), "id").limit(LABELLED)
-    rows = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, TRAIN_CHARS).alias("text")).filter("text is not null").join(F.broadcast(first), "id")
-    return rows.toPandas()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    sizes = texts.select("id", F.length("text").alias("n")).join(F.broadcast(first), "id")
+    so_far = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id"))  # LABELLED rows of two numbers
+    kept = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= LABELLED_CHARS).select("id", "toxic").distinct()
+    return texts.join(F.broadcast(kept), "id").toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
