@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import names
 from docketry.operators import evidence
+from docketry.operators.similar import similar_pairs
 from docketry.rules.compile import flags
 
 #: Similarity of normal forms from which a name is taken for a registered one.
@@ -31,13 +32,14 @@ def resolve(people: DataFrame, actors: DataFrame, role: str) -> DataFrame:
     """(jurisdiction, name, actor_id, similarity): the registered official of a role and jurisdiction that a name means.
 
     An equal normal form has similarity 1; else the most similar one from SIMILAR up. Ties go to the smallest id; names
-    that mean nobody have no row. Distinct names are compared, within a jurisdiction and a band of lengths."""
-    wanted = people.select("jurisdiction", "name").distinct().withColumn("form", names.normalize_name(F.col("name"))).filter("form != ''")
-    known = actors.filter(F.col("role") == role).select("jurisdiction", "actor_id", names.normalize_name(F.col("display_name")).alias("known")).filter("known != ''")
-    longest = F.greatest(F.length("form"), F.length("known"))
-    near = wanted.join(known, "jurisdiction").filter(F.least(F.length("form"), F.length("known")) >= SIMILAR * longest)
-    near = near.withColumn("similarity", names.name_similarity(F.col("form"), F.col("known"))).filter(F.col("similarity") >= SIMILAR)
-    return evidence.first_wins(near, [F.col("jurisdiction"), F.col("name")], [F.desc("similarity"), F.col("actor_id")]).select("jurisdiction", "name", "actor_id", "similarity")
+    that mean nobody have no row. Distinct names are compared, and only those that share parts (see operators.similar)."""
+    wanted = people.select(F.col("jurisdiction").alias("scope"), "name").distinct().withColumn("text", names.normalize_name(F.col("name")))
+    known = actors.filter(F.col("role") == role).select(F.col("jurisdiction").alias("scope"), "actor_id", names.normalize_name(F.col("display_name")).alias("text"))
+    # of equal forms the smallest id
+    first = known.groupBy("scope", F.col("text").alias("b")).agg(F.min("actor_id").alias("actor_id"))
+    near = similar_pairs(wanted, known, SIMILAR).join(first, ["scope", "b"]).withColumnRenamed("a", "text")
+    found = wanted.join(near, ["scope", "text"]).select(F.col("scope").alias("jurisdiction"), "name", "actor_id", "similarity")
+    return evidence.first_wins(found, [F.col("jurisdiction"), F.col("name")], [F.desc("similarity"), F.col("actor_id")])
 
 
 def actor_links(cases: DataFrame, actors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,11 +14,13 @@ def gated(rows: DataFrame) -> DataFrame:
 def actor_matches(rows: DataFrame, actors: DataFrame) -> DataFrame:
     """rows with matched_actor: the row's own actor, or else every actor of its prosecutor.
 
-    Two equi-joins over disjoint rows; one join with OR would be a nested loop."""
-    own = rows.filter(F.col("actor_id").isNotNull()).join(actors.select(F.col("actor_id").alias("matched_actor")).distinct(), F.col("actor_id") == F.col("matched_actor"))
-    by = actors.filter("prosecutor_id is not null").select(F.col("actor_id").alias("matched_actor"), F.col("prosecutor_id").alias("_p"))
-    other = rows.filter(F.col("actor_id").isNull() & F.col("prosecutor_id").isNotNull()).join(by, F.col("prosecutor_id") == F.col("_p")).drop("_p")
-    return own.unionByName(other)
+    Either way is an equality, so both are one equi-join on a key that says which it is; one join with OR would be a nested
+    loop, two joins would read the rows twice."""
+    of_actor, of_prosecutor = (lambda c: F.concat(F.lit("a:"), c)), (lambda c: F.concat(F.lit("p:"), c))
+    keys = actors.select(of_actor(F.col("actor_id")).alias("_k"), F.col("actor_id").alias("matched_actor")).distinct()
+    keys = keys.unionByName(actors.filter("prosecutor_id is not null").select(of_prosecutor(F.col("prosecutor_id")).alias("_k"), F.col("actor_id").alias("matched_actor")))
+    own = F.when(F.col("actor_id").isNotNull(), of_actor(F.col("actor_id"))).otherwise(of_prosecutor(F.col("prosecutor_id")))
+    return rows.withColumn("_k", own).filter(F.col("_k").isNotNull()).join(keys, "_k").drop("_k")
 
 
 def points(findings: Column, flags: Column, sources: Column, recent: Column) -> Column:

@@ -135,7 +135,7 @@ def parsed(df: DataFrame, value: str, out: str = "written") -> DataFrame:
     """The rows of df whose value can be read, with out, the struct of parse()."""
     read = F.filter(F.array(parse(F.col(value), zone_names(df.sparkSession))), lambda p: p.isNotNull())
     # generated, not projected: a later filter is then not pushed into another copy of the expression
-    return df.select("*", F.explode(read).alias(out))
+    return df.select(*[c for c in df.columns if c != out], F.explode(read).alias(out))
 
 
 def instants(df: DataFrame, value: str, zone: str, out: str = "utc") -> DataFrame:
@@ -148,9 +148,9 @@ def instants(df: DataFrame, value: str, zone: str, out: str = "utc") -> DataFram
 
 
 def resolved(df: DataFrame, written: str, zone: str, out: str = "utc") -> DataFrame:
-    """Rows of parsed() whose instant is known, with out: see instants()."""
+    """Rows of parsed() whose instant is known, with out: see instants(). A column named out is replaced."""
     at = _instant(F.col(written), F.col(zone), zone_names(df.sparkSession))
-    return df.select("*", F.explode(F.filter(F.array(at), lambda x: x.isNotNull())).alias(out))
+    return df.select(*[c for c in df.columns if c != out], F.explode(F.filter(F.array(at), lambda x: x.isNotNull())).alias(out))
 
 
 def utc_text(at: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docketry.functions import forum, geo, hashing, names, text
 from docketry.operators import cases as C
 from docketry.operators import evidence, ledger, pipeline, register, search, simulate, upsert
+from docketry.operators.similar import similar_pairs
 from docketry.plans.catalogs import FORUMS, RULES
 from docketry.plans.statistics import _sql_cell
 from docketry.plans.views import AS_OF, sql, view
@@ -65,7 +66,7 @@ _MATCH = ", m AS (SELECT f.*, a.actor_id AS matched_actor FROM findings f JOIN a
 @query(sql("findings", "actors") + _MATCH + "SELECT matched_actor AS actor_id, count(*) AS n FROM m GROUP BY 1")
 def actor_match_union(spark: SparkSession, d: str) -> DataFrame:
     """Findings per actor, matched by actor or, where none is named, by prosecutor."""
-    m = register.actor_matches(_findings(spark, d), _actors(spark, d))
+    m = register.actor_matches(view(spark, d, "findings", "actor_id", "prosecutor_id"), view(spark, d, "actors", "prosecutor_id"))
     return m.groupBy(F.col("matched_actor").alias("actor_id")).agg(F.count("*").alias("n"))
 
 
@@ -181,12 +182,17 @@ def correlated_counts(spark: SparkSession, d: str) -> DataFrame:
 def similarity_argmax(spark: SparkSession, d: str) -> DataFrame:
     """The most similar other name of the same role and jurisdiction, from a similarity up; ties by id.
 
-    Only names whose lengths allow the similarity meet."""
-    n = view(spark, d, "actors", "role", "jurisdiction", "normalized_name").dropna().withColumn("len", F.length("normalized_name"))
-    other = n.select("role", "jurisdiction", F.col("actor_id").alias("best_actor"), F.col("normalized_name").alias("nm"), F.col("len").alias("len2"))
-    near = (F.col("actor_id") != F.col("best_actor")) & (F.greatest("len", "len2") > 0) & (F.least("len", "len2") >= 0.86 * F.greatest("len", "len2"))
-    p = n.join(other, ["role", "jurisdiction"]).filter(near).withColumn("similarity", names.name_similarity(F.col("normalized_name"), F.col("nm"))).filter("similarity >= 0.86")
-    return evidence.first_wins(p, [F.col("actor_id")], [F.desc("similarity"), F.col("best_actor")]).select("actor_id", "best_actor", F.round("similarity", 6).alias("similarity"))
+    Distinct names meet by shared parts, so a scope with many names is not compared with itself."""
+    n = view(spark, d, "actors", "role", "jurisdiction", "normalized_name").dropna()
+    n = n.select("actor_id", F.concat_ws("|", "role", "jurisdiction").alias("scope"), F.col("normalized_name").alias("text"))
+    # the two smallest ids of a spelling are all that can be asked for
+    first = n.groupBy("scope", "text").agg(F.min("actor_id").alias("_first"))
+    least = n.join(first, ["scope", "text"]).groupBy("scope", "text").agg(F.array_distinct(F.array(F.min("actor_id"), F.min(F.when(F.col("actor_id") != F.col("_first"), F.col("actor_id"))))).alias("ids"))
+    p = similar_pairs(n, n, 0.86).join(least.select("scope", F.col("text").alias("b"), "ids"), ["scope", "b"])
+    # of the actors of a spelling the first that is not the actor itself
+    own = n.join(p.withColumnRenamed("a", "text"), ["scope", "text"]).select("actor_id", F.try_element_at(F.array_remove("ids", F.col("actor_id")), F.lit(1)).alias("best_actor"), "similarity")
+    own = own.filter("best_actor is not null")
+    return evidence.first_wins(own, [F.col("actor_id")], [F.desc("similarity"), F.col("best_actor")]).select("actor_id", "best_actor", F.round("similarity", 6).alias("similarity"))
 
 
 # -- context and rules ----------------------------------------------------------------------------------------------

@@ -43,7 +43,7 @@ CASES = [
 def test_every_notation(spark, session_zone):
     spark.conf.set("spark.sql.session.timeZone", session_zone)
     try:
-        df = spark.createDataFrame([(i, v, z) for i, (v, z, _) in enumerate(CASES)], "i int, v string, z string")
+        df = spark.createDataFrame([(i, v, z, "x", 1) for i, (v, z, _) in enumerate(CASES)], "i int, v string, z string, utc string, text int")
         got = {r["i"]: r["u"] for r in T.instants(df, "v", "z").select("i", T.utc_text(F.col("utc")).alias("u")).collect()}
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
