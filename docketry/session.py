@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PREFIX = "docketry-"
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "docketry") -> SparkSession:
@@ -27,8 +31,24 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "docke
     )
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application: they need not have it installed or on a path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix=_PREFIX)  # of the driver, which serves the file
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(Path(folder) / "docketry.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(Path(folder) / "docketry.zip"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
