@@ -5,17 +5,47 @@ work on; a case is ok if all its stages are, else partial."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import names
-from docketry.operators import evidence
+from docketry.functions.text import mentions_nondisclosure, mentions_search
+from docketry.operators import authority, evidence
 from docketry.operators.similar import similar_pairs
 from docketry.rules.compile import flags
 
 #: Similarity of normal forms from which a name is taken for a registered one.
 SIMILAR = 0.86
 STAGES = ("forum", "screen", "evidence_leads", "rules", "actor_links", "score")
+# The clauses that a feature is a lead to: feature, clause, severity, incorporation.
+SCREEN = (
+    ("trial_pressure", "amend.06.jury", "high", "incorporated"), ("trial_pressure", "amend.06.counsel", "high", "incorporated"), ("due_process", "amend.14.due_process", "high", "not_applicable"), ("due_process", "amend.05.due_process", "medium", "incorporated"),
+    ("search", "amend.04.search_seizure", "medium", "incorporated"), ("equal_protection", "amend.14.equal_protection", "medium", "not_applicable"),
+)
+
+
+@dataclass(frozen=True)
+class Catalogs:
+    """The tables of authority.resolve()."""
+
+    clauses: DataFrame
+    forums: DataFrame
+    holdings: DataFrame
+    splits: DataFrame
+
+
+def no_holdings(placed: DataFrame) -> Catalogs:
+    """The clauses of SCREEN and the forums that cases are placed in, without circuits, holdings and splits."""
+    empty = placed.sparkSession.createDataFrame
+    forums = placed.filter("forum != 'unknown'").select(F.col("forum").alias("code"), F.lit(None).cast("string").alias("circuit"), (F.col("forum") == "US").alias("is_federal")).distinct()
+    return Catalogs(
+        empty([(c, i) for _, c, _, i in SCREEN], "clause_id string, incorporation string"),
+        forums,
+        empty([], "holding_id string, clause_ids array<string>, court_kind string, court_id string, year int, authority string, superseded_by string, ordinal int"),
+        empty([], "clause_id string, side_a array<string>, side_b array<string>"),
+    )
 
 
 def named_judges(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,24 +92,62 @@ def public_actors(prosecutors: DataFrame, cases: DataFrame) -> DataFrame:
     return evidence.first_wins(keyed, [F.col("fingerprint")], [F.col("prosecutor_id").isNull(), F.col("display_name")])
 
 
-def run_cases(contexts: DataFrame, placed: DataFrame, opinions: DataFrame, disclosed: DataFrame, links: DataFrame, scores: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(case_id, status, stages, n_leads, n_gaps, n_flags, n_links, best_score) of every case of contexts.
+def screen(contexts: DataFrame, placed: DataFrame, opinions: DataFrame, catalogs: Catalogs | None = None, gaps_before: DataFrame | None = None) -> DataFrame:
+    """(case_id, screened, screen, screen_authority, n_texts): the clauses that the facts and all opinion texts of a case are
+    leads to, each a struct of clause_id, severity, status and binding. Of gaps_before, (case_id, gaps_found), more than 0
+    are a lead too.
+
+    Cases in no forum that the catalogs know are not screened. Clauses that don't apply to a case's forum and level are
+    dropped; authority is unsettled if a clause is, else controlling. Both text tests are aggregated before the join."""
+    catalogs = catalogs or no_holdings(placed)
+    read = opinions.filter("full_text is not null").groupBy("case_id").agg(F.count("*").alias("n_texts"), F.bool_or(mentions_search(F.col("full_text"))).alias("_search"), F.bool_or(mentions_nondisclosure(F.col("full_text"))).alias("_undisclosed"))
+    at = placed.select("case_id", F.col("forum").alias("code"), *[F.col(c).alias("_level") for c in placed.columns if c == "forum_level"])
+    out = contexts.select("case_id", "features", F.col("case.court_level").alias("court_level")).join(at, "case_id", "left").join(read, "case_id", "left")
+    if "_level" in out.columns:
+        out = out.withColumn("court_level", F.col("_level"))
+    gaps = F.lit(False)
+    if gaps_before is not None:
+        out = out.join(gaps_before.groupBy("case_id").agg((F.max("gaps_found") > 0).alias("_gaps")), "case_id", "left")
+        gaps = F.coalesce("_gaps", F.lit(False))
+    # every clause of every forum and level that occur: a small table, so nothing is exploded per case
+    asked = out.filter("code is not null").select("code", "court_level").distinct().withColumn("clause_id", F.explode(F.array(*[F.lit(c) for _, c, _, _ in SCREEN])))
+    resolved = authority.resolve(asked, catalogs.clauses, catalogs.forums, catalogs.holdings, catalogs.splits).dropDuplicates(["code", "court_level", "clause_id"])
+    applies = F.collect_list(F.when(F.col("status") != "inapplicable", F.struct("clause_id", F.struct("status", "binding").alias("r"))))
+    by_forum = resolved.groupBy(F.col("code").alias("_c"), F.col("court_level").alias("_l")).agg(F.map_from_entries(applies).alias("_r"))
+    out = out.join(by_forum, (F.col("code") == F.col("_c")) & F.col("court_level").eqNullSafe(F.col("_l")), "left")
+    found = {
+        "trial_pressure": F.col("features.trial_pressure"),
+        "due_process": F.col("features.due_process") | F.coalesce("_undisclosed", F.lit(False)) | gaps,
+        "search": F.col("features.search") | F.coalesce("_search", F.lit(False)),
+        "equal_protection": F.col("features.equal_protection"),
+    }
+    hit = lambda f, c, severity: F.when(found[f] & F.col("_r")[c].isNotNull(), F.struct(F.lit(c).alias("clause_id"), F.lit(severity).alias("severity"), F.col("_r")[c]["status"].alias("status"), F.col("_r")[c]["binding"].alias("binding")))
+    out = out.withColumn("screen", F.array_compact(F.array(*[hit(f, c, severity) for f, c, severity, _ in SCREEN])))
+    settled = F.when(F.exists("screen", lambda h: h["status"] == "unsettled"), "unsettled").otherwise("controlling")
+    screened = F.col("_r").isNotNull()
+    return out.select("case_id", screened.alias("screened"), "screen", F.when(screened, settled).alias("screen_authority"), "n_texts")
+
+
+def run_cases(contexts: DataFrame, placed: DataFrame, opinions: DataFrame, disclosed: DataFrame, links: DataFrame, scores: DataFrame, rules: dict[str, str], catalogs: Catalogs | None = None, gaps_before: DataFrame | None = None) -> DataFrame:
+    """(case_id, status, stages, screen, screen_authority, screen_hits, n_leads, n_gaps, n_flags, n_links, best_score) of every
+    case of contexts.
 
     contexts: cases.context(); placed: cases.placed(); opinions: (case_id, full_text); links: actor_links(); scores:
-    register.scores(). Screening comes before evidence, so it never sees this run's gaps."""
+    register.scores(); catalogs, gaps_before: see screen(). Screening comes before evidence, so it never sees this run's
+    gaps."""
     count = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
     texts = opinions.filter("full_text is not null").join(contexts.select("case_id"), "case_id", "left_semi")
     leads = evidence.expected_items(texts, ["case_id"], "full_text").distinct()
     best = links.join(scores.select("actor_id", "score"), "actor_id").groupBy("case_id").agg(F.max("score").alias("best_score"))
-    parts = [placed.select("case_id", (F.col("forum") != "unknown").alias("has_forum")), count(texts, "n_texts"), count(leads, "n_leads"), count(evidence.gaps(leads, disclosed), "n_gaps"), count(flags(contexts, rules, ["case_id"]), "n_flags"), count(links, "n_links"), best]
-    out = contexts.select("case_id", F.array_compact(F.array(*[F.when(F.col(f"features.{f}"), F.lit(f)) for f in ("trial_pressure", "due_process", "equal_protection", "search")])).alias("screen"))
+    parts = [placed.select("case_id", (F.col("forum") != "unknown").alias("has_forum")), count(leads, "n_leads"), count(evidence.gaps(leads, disclosed), "n_gaps"), count(flags(contexts, rules, ["case_id"]), "n_flags"), count(links, "n_links"), best]
+    out = screen(contexts, placed, opinions, catalogs, gaps_before)
     for p in parts:
         out = out.join(p, "case_id", "left")
     out = out.na.fill(0, ["n_texts", "n_leads", "n_gaps", "n_flags", "n_links"])
-    worked = {"forum": F.coalesce("has_forum", F.lit(False)), "screen": F.lit(True), "evidence_leads": F.col("n_texts") > 0, "rules": F.lit(True), "actor_links": F.col("n_links") > 0, "score": F.col("best_score").isNotNull()}
+    worked = {"forum": F.coalesce("has_forum", F.lit(False)), "screen": F.col("screened"), "evidence_leads": F.col("n_texts") > 0, "rules": F.lit(True), "actor_links": F.col("n_links") > 0, "score": F.col("best_score").isNotNull()}
     stages = F.array(*[F.struct(F.lit(s).alias("stage"), F.when(worked[s], "ok").otherwise("skipped").alias("status")) for s in STAGES])
-    all_ok = worked["forum"] & worked["evidence_leads"] & worked["actor_links"] & worked["score"]
-    return out.select("case_id", F.when(all_ok, "ok").otherwise("partial").alias("status"), stages.alias("stages"), F.size("screen").alias("screen_hits"), "n_leads", "n_gaps", "n_flags", "n_links", "best_score")
+    all_ok = worked["forum"] & worked["screen"] & worked["evidence_leads"] & worked["actor_links"] & worked["score"]
+    return out.select("case_id", F.when(all_ok, "ok").otherwise("partial").alias("status"), stages.alias("stages"), "screen", "screen_authority", F.size("screen").alias("screen_hits"), "n_leads", "n_gaps", "n_flags", "n_links", "best_score")
 
 
 def summary(runs: DataFrame) -> DataFrame:

@@ -165,3 +165,29 @@ def test_runs_of_cases(spark, as_rows):
     assert pipeline.public_actors(fixtures.demo_prosecutors(spark), c).count() == 5
     again = runs.withColumn("at", F.lit(1)).unionByName(runs.withColumn("at", F.lit(2)))
     assert pipeline.latest_runs(again, "at").filter("at = 2").count() == 4
+
+
+def test_screen_reads_all_opinions_and_resolves_clauses(spark):
+    from docketry.operators import pipeline
+
+    c = fixtures.demo_cases(spark).unionByName(fixtures.demo_cases(spark).limit(1).withColumn("case_id", F.lit("lost")))
+    placed = c.select("case_id", F.when(F.col("case_id") == "lost", "unknown").otherwise("CA").alias("forum"))
+    opinions = spark.createDataFrame([("c1", "Nothing of note."), ("c1", "A motion to SUPPRESS was heard."), ("c1", None), ("c2", "The log was never disclosed."), ("lost", "a warrant")], "case_id string, full_text string")
+    contexts = cases.context(c, fixtures.demo_prosecutors(spark))
+    due, search_, pressure, equal = ["amend.05.due_process", "amend.14.due_process"], ["amend.04.search_seizure"], ["amend.06.counsel", "amend.06.jury"], ["amend.14.equal_protection"]
+    clauses = lambda rows: {r["case_id"]: sorted(h["clause_id"] for h in r["screen"]) for r in rows}
+    got = pipeline.screen(contexts, placed, opinions).collect()
+    assert clauses(got) == {"c0": sorted(due + pressure + equal), "c1": sorted(search_ + equal), "c2": due, "c3": sorted(due + equal), "lost": []}
+    assert {r["case_id"]: r["screened"] for r in got} == {"c0": True, "c1": True, "c2": True, "c3": True, "lost": False}
+    # gaps of an earlier run are a lead; clauses that don't apply to a state are dropped, a split makes authority unsettled
+    plain = pipeline.no_holdings(placed)
+    kept = plain.clauses.withColumn("incorporation", F.when(F.col("clause_id") == "amend.05.due_process", "not_incorporated").otherwise(F.col("incorporation")))
+    splits = spark.createDataFrame([("amend.04.search_seizure", ["CA4"], ["CA5"])], "clause_id string, side_a array<string>, side_b array<string>")
+    given = pipeline.Catalogs(kept, plain.forums, plain.holdings, splits)
+    again = pipeline.screen(contexts, placed, opinions, given, spark.createDataFrame([("c1", 2), ("c3", 0)], "case_id string, gaps_found int")).collect()
+    assert clauses(again)["c1"] == sorted(search_ + equal + due[1:]) and clauses(again)["c2"] == due[1:]
+    assert {r["case_id"]: r["screen_authority"] for r in again} == {"c0": "controlling", "c1": "unsettled", "c2": "controlling", "c3": "controlling", "lost": None}
+    # the run of a case counts clauses
+    none = spark.createDataFrame([], "case_id string, actor_id string, role_in_case string")
+    runs = pipeline.run_cases(contexts, placed, opinions, spark.createDataFrame([], "case_id string, item_type string, description string"), none, spark.createDataFrame([], "actor_id string, score double"), RULES)
+    assert {r["case_id"]: r["screen_hits"] for r in runs.collect()} == {"c0": 5, "c1": 2, "c2": 2, "c3": 3, "lost": 0}
