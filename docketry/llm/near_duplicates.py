@@ -221,7 +221,8 @@ def _compare(like: Likeness, turn: int):
                     [pa.array(ids_a[i[now]], pa.string()), pa.array(ids_b[j[now]], pa.string()), pa.array(np.full(int(now.sum()), 0), pa.int64())], ["a", "b", "waiting"]
                 )
                 if later.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([int(later.sum())], pa.int64())], ["a", "b", "waiting"])
+                    at, n = np.unique(i[later], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_a[at], pa.string()), pa.array([None] * len(at), pa.string()), pa.array(n, pa.int64())], ["a", "b", "waiting"])
 
     return run
 
@@ -248,12 +249,71 @@ def _with_groups(blocks: DataFrame, groups: DataFrame) -> DataFrame:
     return blocks.join(named.select("block", F.transform("s", lambda x: x["g"]).alias("groups")), "block")
 
 
+def _chunk_links(like: Likeness):
+    def run(rows: pa.Table) -> pa.Table:
+        """(id, n_links) of the texts of two chunks of a component, or of one with itself; links are counted, never kept."""
+        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+        chunk = rows.column("chunk").to_numpy()
+        ids = np.array(rows.column("id").to_pylist(), object)
+        sets = [np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]
+        n = np.array([len(g) for g in sets], np.int64)
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        start = np.concatenate([[0], np.cumsum(n)])
+        side_a, side_b = np.nonzero(chunk == x)[0], np.nonzero(chunk == y)[0]
+        side_b = side_b[np.argsort(n[side_b], kind="stable")]
+        links = np.zeros(len(ids), np.int64)
+        if len(side_a) and len(side_b):
+            codes_b = np.concatenate([code[start[j] : start[j + 1]] for j in side_b])
+            n_b = n[side_b]
+            start_b = np.concatenate([[0], np.cumsum(n_b)])
+            mark = np.zeros(int(code.max()) + 1, np.int32)
+            num, den = like.share
+            for i in side_a:
+                # sets whose sizes differ by more than the share are not alike
+                low, high = np.searchsorted(n_b, -(-num * n[i] // den)), np.searchsorted(n_b, den * n[i] // num, "right")
+                if low == high:
+                    continue
+                own = code[start[i] : start[i + 1]]
+                mark[own] = 1
+                shared = np.add.reduceat(mark[codes_b[start_b[low] : start_b[high]]], start_b[low:high] - start_b[low]).astype(np.int64)
+                mark[own] = 0
+                near = side_b[low:high][shared * den >= num * (n[i] + n_b[low:high] - shared)]
+                near = near[near != i]
+                links[i] += len(near)
+                if x != y:
+                    links[near] += 1
+        return pa.table({"id": pa.array(ids, pa.string()), "n_links": pa.array(links, pa.int64())})
+
+    return run
+
+
+def _all_links(texts: DataFrame, at: DataFrame, like: Likeness) -> DataFrame:
+    """(id, n_links) of every text of the components at, (id, component): all pairs of a component are compared exactly.
+
+    A component is cut into chunks of like.block_bytes at most on average; a task holds two of them."""
+    held = texts.join(at, "id").select("id", "grams", "component")
+    bytes_ = held.groupBy("component").agg(F.ceil(F.sum(F.length("grams")) / F.lit(like.block_bytes)).cast("int").alias("chunks"))
+    held = held.join(bytes_, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    met = held.select("component", "id", "grams", "chunk", other.alias("other")).select("component", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "id", "grams")
+    counted = met.groupBy("component", "x", "y").applyInArrow(_chunk_links(like), "id string, n_links bigint")
+    return counted.groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
 def similar_texts(docs: DataFrame, id_col: str, text_col: str, like: Likeness | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, and membership.
 
     Gives (a, b): all pairs of representatives that were needed to connect what is alike, each pair verified, and
     (id, representative) of every row that has an id and a text. Texts with the same runs have one representative, the
-    smallest id. A text with fewer words than a run is like equal texts only. Null texts and null ids are in neither."""
+    smallest id. A text with fewer words than a run is like equal texts only. Null texts and null ids are in neither.
+    Within a family of many texts these are not all links; groups() counts all."""
+    links, members, _, _ = _linked(docs, id_col, text_col, like)
+    return links, members
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, like: Likeness | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """similar_texts(), the representatives' texts, and the ids of those with pairs that waited after the first turn: null if
+    none did. A component without such an id has all its links."""
     like = like or Likeness()
     plain = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     prints = materialize(plain.mapInArrow(_prints(like), "id string, text_key string, n int, grams binary, cls int, level int, bits binary"), "prints")
@@ -275,31 +335,46 @@ def similar_texts(docs: DataFrame, id_col: str, text_col: str, like: Likeness |
     side = lambda s, x: x.select(*[F.col(c).alias(f"{c}_{s}") for c in x.columns if c not in ("low", "high", "most")])
 
     n_pairs = max(1, pairs.count())
-    links, turn, held = None, 0, blocks
+    links, turn, held, waited = None, 0, blocks, None
     while True:
         both = pairs.join(side("b", held), "block_b").join(side("a", held), "block_a")
         # a task is two blocks: small in bytes, large in work, so never merged by size
         found = materialize(both.repartition(n_pairs, "block_a", "block_b").mapInArrow(_compare(like, turn), "a string, b string, waiting bigint"), "near")
         grams = texts.select("id", "grams")
-        cand = found.filter(F.col("a").isNotNull()).select("a", "b")
+        cand = found.filter(F.col("b").isNotNull()).select("a", "b")
         with_a = cand.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
         with_b = with_a.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
         new = with_b.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(like), "a string, b string")
         links = materialize(new if links is None else links.unionByName(new), "links")
         waiting = found.agg(F.sum("waiting")).first()[0] or 0
         if not waiting:
-            return links, members
+            return links, members, texts, waited
+        if not turn:
+            waited = found.filter(F.col("b").isNull()).select(F.col("a").alias("id")).distinct()
         turn += 1
         held = materialize(_with_groups(blocks, components(links)), "tiles")
 
 
+def membership(docs: DataFrame, id_col: str, text_col: str, like: Likeness | None = None) -> DataFrame:
+    """(id, group_id): groups() without counting links."""
+    links, members = similar_texts(docs, id_col, text_col, like)
+    at = components(links).select(F.col("id").alias("representative"), "component")
+    return members.join(at, "representative", "left").select("id", F.coalesce("component", "representative").alias("group_id"))
+
+
 def groups(docs: DataFrame, id_col: str, text_col: str, like: Likeness | None = None) -> DataFrame:
     """(id, group_id, n_links): the group of every row with an id and a text, named by its smallest id.
 
-    n_links counts the verified links of the row's text to other texts; it is 0 for a text that is like none."""
-    links, members = similar_texts(docs, id_col, text_col, like)
-    at = components(links).select(F.col("id").alias("representative"), "component")
-    ends = links.select(F.col("a").alias("representative")).unionByName(links.select(F.col("b").alias("representative")))
-    n = ends.groupBy("representative").agg(F.count("*").alias("n_links"))
+    n_links counts all other texts that the row's text is alike; it is 0 for a text that is like none."""
+    like = like or Likeness()
+    links, members, texts, waited = _linked(docs, id_col, text_col, like)
+    at = components(links)
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    n = ends.groupBy("id").agg(F.count("*").alias("n_links"))
+    if waited is not None:
+        # not all links of these components were verified, so they are counted anew
+        open_ = at.join(at.join(waited, "id").select("component").distinct(), "component").select("id", "component")
+        n = n.join(open_, "id", "left_anti").unionByName(materialize(_all_links(texts, open_, like), "counts"))
+    at, n = at.withColumnRenamed("id", "representative"), n.withColumnRenamed("id", "representative")
     out = members.join(at, "representative", "left").join(n, "representative", "left")
     return out.select("id", F.coalesce("component", "representative").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))

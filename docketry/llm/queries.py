@@ -17,14 +17,14 @@ OPINIONS_ALIKE = near_duplicates.Likeness(run=3, share=(1, 2))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The group of every opinion and the number of other texts its text was linked to."""
+    """The group of every opinion and the number of other texts its text is alike."""
     out = near_duplicates.groups(table(spark, d, "court_opinions"), "opinion_id", "full_text", OPINIONS_ALIKE)
     return out.withColumnRenamed("id", "opinion_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of opinions in the same group."""
-    rows = p2_groups(spark, d).select("opinion_id", "group_id")
+    rows = near_duplicates.membership(table(spark, d, "court_opinions"), "opinion_id", "full_text", OPINIONS_ALIKE).withColumnRenamed("id", "opinion_id")
     # groups of one have no pair and need not be shuffled twice
     several = rows.groupBy("group_id").agg(F.count("*").alias("n")).filter("n > 1").select("group_id")
     rows = rows.join(several, "group_id")

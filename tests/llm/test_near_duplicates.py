@@ -74,6 +74,18 @@ def test_a_hot_family_of_variants_is_one_group(spark):
     assert {r["group_id"] for r in ND.groups(spark.createDataFrame(rows, "id string, t string"), "id", "t", like).collect()} == {"f000"}
 
 
+@pytest.mark.parametrize("layout", [{}, {"block_rows": 64}, {"block_bytes": 8000}])
+def test_links_of_a_hot_family_are_all_counted(spark, layout):
+    base = [f"w{i}" for i in range(30)]
+    texts = [(f"f{i:03d}", " ".join([*base[: 12 + i % 19], f"x{i}", f"y{i}"])) for i in range(130)] + [("copy", " ".join([*base[:12], "x0", "y0"])), ("far", "nothing like it at all here")]
+    like = ND.Likeness(run=3, share=(1, 2), partners=4, **layout)
+    sets = {i: frozenset(tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)) for i, t in texts}
+    others = set(sets.values())
+    want = {i: sum(1 for b in others if b != a and 2 * len(a & b) >= len(a | b)) for i, a in sets.items()}
+    got = {r["id"]: r["n_links"] for r in ND.groups(spark.createDataFrame(texts, "id string, t string"), "id", "t", like).collect()}
+    assert got == want and want["f000"] > 4 and want["far"] == 0 and len(set(want.values())) > 3
+
+
 def test_empty_table(spark):
     assert ND.groups(spark.createDataFrame([], "id string, t string"), "id", "t").count() == 0
     with pytest.raises(ValueError):
