@@ -2,13 +2,15 @@
 
 A value is rewritten by one regular expression per family of notations into the same list of fields, all in the JVM. A
 zone written in the value holds; else the zone column of the row; where both are missing the zone is estimated for the
-feed: its local times are aligned with their arrival, months are weighed by how many times would come after their own
-arrival under each candidate zone, and the history of zones with the fewest violations is chosen.
+feed. Every zone is an offset history, one offset a week. A history is violated by a local time that would come after its
+own arrival, and by a local time of the feed that wrote another offset; how likely the lags to the arrivals are tells
+histories apart that are violated alike, and what the other feeds of the same group show tells the rest. The sequence
+of histories with the least cost is chosen, a change of history having a price of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,25 +19,30 @@ from pyspark.sql import functions as F
 
 from docketry.session import materialize
 
-# Zone abbreviations and their offsets in minutes.
+# Zone abbreviations and their offsets in minutes. Where several zones share one (CST, BST, AST, MST), the
+# American one holds, and for BST the British.
 ABBREVIATIONS = {
     "Z": 0, "UT": 0, "UTC": 0, "GMT": 0,
     "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
-    "AKST": -540, "AKDT": -480, "HST": -600,
+    "AKST": -540, "AKDT": -480, "HST": -600, "HDT": -540, "AST": -240, "ADT": -180, "NST": -210, "NDT": -150, "SST": -660, "CHST": 600,
+    "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180, "MSK": 180,
+    "SAST": 120, "PKT": 300, "IST": 330, "HKT": 480, "SGT": 480, "AWST": 480, "JST": 540, "KST": 540,
+    "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780,
 }
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-#: Zones tried where a feed's zone is not known.
-CANDIDATE_ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Phoenix", "America/Los_Angeles", "America/Anchorage", "Pacific/Honolulu")
-
-#: Lags are told apart by the hour up to so many hours; a time after its own arrival costs as much as e^-VIOLATION.
-LAG_HOURS, VIOLATION = 72, 12.0
-#: Weight of the lags of all feeds beside a feed's own.
-PRIOR_ROWS = 5.0
+#: Cost of a time after its own arrival or of another written offset; no lag costs more. A change of history costs as much.
+VIOLATION = 12.0
+#: Feeds that a group's own are weighed against: what all feeds show counts as so many more in a group.
+PRIOR_FEEDS = 0.5
+#: Weeks begin on Sundays, when clocks change; those before 1970 and after 2099 count as the first and the last.
+FIRST_WEEK, LAST_WEEK = 0, 6783
+#: Lag bins per doubling of one hour plus the lag.
+BINS = 6
 
 _MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 _WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
-_ZONE = r"(z|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?|[a-z]{2,5}|\[[^\]]*\])?"
+_ZONE = r"(z|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?|[a-z]{2,5}|[a-z]+(?:/[a-z0-9_+-]+)+|\[[^\]]*\])?"
 _TIME = rf"(?:(?:\s*t|,?\s+(?:at\s+)?)(\d{{1,2}})[:.](\d{{2}})(?:[:.](\d{{2}})(?:[.,](\d{{1,9}}))?)?\s*([ap]\.?m\b\.?)?\s*{_ZONE})?"
 #: Family, pattern, and where year, month and day stand; the rest of the groups are those of _TIME.
 _FAMILIES = (
@@ -90,7 +97,7 @@ def _parsed(f: Column, names: Column) -> Column:
     at = lambda h, m, s: F.try_make_timestamp_ntz(year, _month(f[1]), _number(f[2]), h, m, s)
     local = F.when(dated, at(F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"))).when(timed, at(hour24, minute, seconds))
     zone = F.regexp_replace(f[8], r"^\[|\]$", "")
-    named = F.startswith(f[8], F.lit("["))
+    named = F.startswith(f[8], F.lit("[")) | F.contains(f[8], F.lit("/"))
     signed = r"^(?:utc|gmt)?([+-])(\d{1,2}):?(\d{2})?$"
     part = lambda i: F.regexp_extract(zone, signed, i)
     minutes = F.coalesce(_number(part(2)), F.lit(0)) * 60 + F.coalesce(_number(part(3)), F.lit(0))
@@ -159,73 +166,187 @@ def utc_text(at: Column) -> Column:
     return F.when(at.isNotNull(), F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."), F.rpad(F.substring(text, 21, 6), 6, "0"), F.lit("Z")))
 
 
-def _histories(switch_cost: float):
-    """Cheapest zone per month of one feed: violations, plus switch_cost for every change of zone (Viterbi)."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        cost = rows.pivot_table(index="month", columns="zone", values="cost", aggfunc="sum").sort_index()
-        zones, c = list(cost.columns), cost.to_numpy()
-        best, back = c[0].copy(), []
-        for row in c[1:]:
-            jump = best.min() + switch_cost
-            back.append(np.where(best <= jump, np.arange(len(zones)), best.argmin()))
+def _week(local: Column) -> Column:
+    """The number of the week of a local time, the first beginning on the Sunday before 1970."""
+    days = F.date_diff(local.cast("date"), F.lit("1970-01-01").cast("date")) + 4
+    return F.greatest(F.lit(FIRST_WEEK), F.least(F.lit(LAST_WEEK), F.floor(days / 7).cast("int")))
+
+
+def _offset_at(zone: Column, local: Column) -> Column:
+    """Minutes by which a zone is ahead of UTC at one of its local times."""
+    return F.timestamp_diff("MINUTE", F.convert_timezone(zone, F.lit("UTC"), local), local).cast("int")
+
+
+def zone_histories(spark, first: int, last: int, zones: list[str]) -> tuple[list[str], np.ndarray]:
+    """The different offset histories of zones between two weeks: a zone of each, the first of the list, and a matrix of
+    minutes, weeks by histories. It has no more columns than there are zones, and no more rows than weeks from 1970 to
+    2099."""
+    listed = spark.createDataFrame([(i, z) for i, z in enumerate(zones)], "rank int, zone string")
+    noon = F.to_timestamp_ntz(F.lit("1969-12-31 12:00:00"))
+    mid = lambda w: noon + F.make_dt_interval(w * 7)
+    each = listed.select("rank", "zone", F.transform(F.sequence(F.lit(first), F.lit(last)), lambda w: _offset_at(F.col("zone"), mid(w))).alias("minutes"))
+    rows = sorted(each.groupBy("minutes").agg(F.min(F.struct("rank", "zone")).alias("r")).collect(), key=lambda r: r["r"]["rank"])
+    return [r["r"]["zone"] for r in rows], np.array([r["minutes"] for r in rows], np.int32).reshape(len(rows), -1).T
+
+
+class _Fit:
+    """What an estimate is made with: sent to tasks, as large as the histories' matrix."""
+
+    def __init__(self, first: int, names: list[str], minutes: np.ndarray, lags: dict[int, int]):
+        self.first, self.names, self.minutes = first, names, minutes
+        # density of lags per hour, so that bins of different widths compare; smoothed by a slowly falling share
+        n = np.zeros(max([*lags, 0]) + 2)
+        for b, k in lags.items():
+            n[b] += k
+        edges = np.exp2(np.arange(len(n) + 1) / BINS)
+        density = (n + 0.5) / (n.sum() + 0.5 * len(n)) / np.diff(edges)
+        self.lag_cost = np.minimum(np.log(density.max() / density), VIOLATION)
+        self.prior = np.full(len(names), 1 / max(1, len(names)))
+
+    def costs(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Weeks with evidence, in order, and the cost of every history in each."""
+        weeks, at = np.unique(rows["week"].to_numpy(), return_inverse=True)
+        out = np.zeros((len(weeks), len(self.names)))
+        minutes = self.minutes[weeks - self.first]
+        wrote, naive, n = (rows[c].to_numpy(np.float64) for c in ("wrote", "naive", "n"))
+        for i in range(0, len(rows), 4096):
+            part = slice(i, i + 4096)
+            of = minutes[at[part]]
+            lag = naive[part, None] + of
+            bins = np.clip((np.log2(1 + np.maximum(lag, 0) / 60) * BINS), 0, len(self.lag_cost) - 1)
+            late = np.where(lag < 0, VIOLATION, self.lag_cost[np.nan_to_num(bins).astype(int)])
+            cost = np.where(np.isnan(wrote[part, None]), np.where(np.isnan(lag), 0.0, late), np.where(of != wrote[part, None], VIOLATION, 0.0))
+            np.add.at(out, at[part], cost * n[part, None])
+        return weeks, out
+
+    def shares(self, total: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """How likely each history is, by its cost and what is known beforehand."""
+        cost = total - np.log(prior + 1e-9)
+        p = np.exp(cost.min() - cost)
+        return p / p.sum()
+
+    def path(self, cost: np.ndarray, prior: np.ndarray, switch_cost: float) -> np.ndarray:
+        """The cheapest history per week (Viterbi)."""
+        start = -np.log(prior + 1e-9)
+        best, back = cost[0] + start, []
+        for row in cost[1:]:
+            jump = best.min() + switch_cost + start
+            back.append(np.where(best <= jump, np.arange(len(start)), best.argmin()))
             best = row + np.minimum(best, jump)
         at = [int(best.argmin())]
         for b in reversed(back):
             at.append(int(b[at[-1]]))
-        return pd.DataFrame({"feed": rows["feed"].iloc[0], "month": cost.index, "zone": [zones[i] for i in reversed(at)]})
-
-    return solve
-
-
-def estimate_zones(df: DataFrame, value: str, feed: str, arrival: str, zones: tuple[str, ...] = CANDIDATE_ZONES, switch_cost: float = 12.0) -> DataFrame:
-    """(feed, month, zone): the offset history of each feed under which its local times fit their arrivals best.
-
-    Values with a written zone show how long a feed's records take to arrive, in whole hours up to LAG_HOURS; where it has
-    few, those of all feeds count as PRIOR_ROWS more. A local time costs, under a zone, the negative logarithm of the
-    share of that lag; one that would come after its own arrival is a violation and costs VIOLATION. A change of zone costs switch_cost. Costs are added up per feed, month and zone before
-    anything is grouped, so a feed with a third of all rows is a few rows here. Dates alone and null arrivals say
-    nothing; feeds with no local time have no row."""
-    rows = df.select(F.col(feed).alias("feed"), F.col(value).alias("value"), F.col(arrival).cast("timestamp_ntz").alias("arrival"))
-    return zone_histories(parsed(rows.filter(F.col("arrival").isNotNull()), "value", "_w"), zones, switch_cost)
-
-
-def zone_histories(rows: DataFrame, zones: tuple[str, ...] = CANDIDATE_ZONES, switch_cost: float = 12.0, wanted: DataFrame | None = None) -> DataFrame:
-    """estimate_zones() of rows that are parsed: (feed, arrival, _w), for the feeds of wanted alone if it is given."""
-    names = zone_names(rows.sparkSession)
-    w = rows.filter(F.col("arrival").isNotNull() & ~F.col("_w.dated"))
-    has_zone = F.col("_w.instant").isNotNull() | F.col("_w.offset").isNotNull() | F.col("_w.zone").isNotNull()
-    bin_of = lambda at: F.least(F.lit(LAG_HOURS), F.greatest(F.lit(-1), F.floor(F.timestamp_diff("SECOND", at, F.col("arrival")) / 3600.0).cast("int")))
-    lags = w.filter(has_zone).groupBy("feed", bin_of(_instant(F.col("_w"), F.lit("UTC"), names)).alias("lag")).agg(F.count("*").alias("n"))
-    local = w.filter(~has_zone & F.col("feed").isNotNull())
-    if wanted is not None:
-        local = local.join(wanted, "feed", "left_semi")
-    local = local.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
-    local = local.withColumn("lag", bin_of(F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("_w.local"))))
-    counts = local.groupBy("feed", F.date_format("arrival", "yyyy-MM").alias("month"), "zone", "lag").agg(F.count("*").alias("rows"))
-    own = lags.select("feed", "lag", "n")
-    # LAG_HOURS + 2 rows, hence the hint
-    every = lags.groupBy("lag").agg(F.sum("n").alias("all_n"))
-    every = every.withColumn("share", F.col("all_n") / F.sum("all_n").over(Window.partitionBy(F.lit(0))))
-    totals = lags.groupBy("feed").agg(F.sum("n").alias("feed_total"))
-    whole = counts.join(own, ["feed", "lag"], "left").join(F.broadcast(every), "lag", "left").join(totals, "feed", "left")
-    prior = F.coalesce("share", F.lit(0.0)) + 0.001
-    p = (F.coalesce("n", F.lit(0)) + PRIOR_ROWS * prior) / (F.coalesce("feed_total", F.lit(0)) + PRIOR_ROWS)
-    whole = whole.withColumn("p", p)
-    cost = F.when(F.col("lag") < 0, F.lit(VIOLATION)).otherwise(-F.log("p")) * F.col("rows")
-    costs = whole.groupBy("feed", "month", "zone").agg(F.sum(cost).alias("cost"))
-    return costs.groupBy("feed").applyInPandas(_histories(switch_cost), "feed string, month string, zone string")
-
-
-def with_estimated_zones(df: DataFrame, value: str, zone: str, feed: str, arrival: str) -> DataFrame:
+        return np.array(at[::-1])
+
+
+def _evidence(read: DataFrame, zone: str | None, feed: str, arrival: str, group: str | None) -> DataFrame:
+    """(feed, group, week, wrote, naive, lag) of rows of parsed(): the week of a local time and the offset it wrote, or its
+    distance to the arrival as if it were UTC, in minutes; lag is that of a row whose instant is known."""
+    names = zone_names(read.sparkSession)
+    w = F.col("_w")
+    declared = F.when(F.array_contains(names, F.col(zone)), F.col(zone)) if zone else F.lit(None).cast("string")
+    name = F.coalesce(w["zone"], F.when(w["offset"].isNull(), declared))
+    arrived = F.col(arrival).cast("timestamp_ntz")
+    local = F.when(~w["dated"], w["local"])
+    # an offset of nothing is how UTC is written, and says nothing of the feed
+    wrote = F.coalesce(F.nullif(w["offset"], F.lit(0)), F.when(w["offset"].isNull() & name.isNotNull(), _offset_at(name, local)))
+    bare = w["offset"].isNull() & name.isNull() & local.isNotNull()
+    instant = F.when(bare, F.lit(None)).otherwise(F.coalesce(w["instant"], local - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(w["offset"], wrote))))
+    minutes = F.timestamp_diff("MINUTE", local, arrived)
+    # to a quarter of an hour in the first four days, to two per cent beyond
+    near = F.when(F.abs(minutes) < 5760, F.round(minutes / 15) * 15).otherwise(F.signum(minutes.cast("double")) * F.exp(F.round(F.log(F.abs(minutes).cast("double")) * 50) / 50))
+    return read.select(
+        F.coalesce(F.col(feed).cast("string"), F.lit("")).alias("feed"),
+        (F.col(group).cast("string") if group else F.lit("")).alias("group"),
+        F.when(local.isNotNull(), _week(local)).alias("week"),
+        wrote.cast("double").alias("wrote"),
+        F.when(bare, near).cast("double").alias("naive"),
+        F.when(~w["dated"], F.timestamp_diff("MINUTE", instant, arrived)).alias("lag"),
+        bare.alias("bare"),
+    )
+
+
+def zone_estimates(read: DataFrame, feed: str, arrival: str, zone: str | None = None, group: str | None = None, zones: tuple[str, ...] | None = None, switch_cost: float = VIOLATION) -> DataFrame:
+    """(feed, week, zone) of rows of parsed(), for every feed and week with a local time that has no zone.
+
+    zones: the zones that may be estimated, by default all that the JVM knows; of zones with the same offsets the one that
+    the data name most stands for all. group: a column whose feeds are likely to share a zone. zone: the zone column, where
+    some rows have one. A null feed is one feed, written ''. Rows without an arrival are judged by the rest of their feed,
+    a feed without evidence by its group, that by all feeds. Evidence is added up per feed, week, offset and lag before
+    anything is grouped, so what one task sees of a feed with a third of all rows is bounded by weeks and bins."""
+    spark = read.sparkSession
+    seen = materialize(_evidence(read, zone, feed, arrival, group), "evidence")
+    span = seen.agg(F.min("week"), F.max("week")).first()
+    schema = "feed string, week int, zone string"
+    if span[0] is None:
+        return spark.createDataFrame([], schema)
+    bins = F.when(F.col("lag") >= 0, F.floor(F.log2(1 + F.col("lag") / 60) * BINS).cast("int"))
+    lags = {r["b"]: r["n"] for r in seen.groupBy(bins.alias("b")).agg(F.count("*").alias("n")).collect() if r["b"] is not None}  # as many rows as doublings of the longest lag, times BINS
+    if zones is None:
+        every = sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
+        named = read.select(F.coalesce("_w.zone", F.col(zone) if zone else F.lit(None)).alias("z")).groupBy("z").agg(F.count("*").alias("n")).filter(F.array_contains(zone_names(spark), F.col("z")))
+        often = {r["z"]: r["n"] for r in named.collect()}  # names of zones, of which there are about 600
+        # places before abbreviations and links that no place has
+        zones = tuple(sorted(every, key=lambda z: (-often.get(z, 0), "/" not in z or z.startswith(("Etc/", "SystemV/")), z)))
+    fit = _Fit(span[0], *zone_histories(spark, span[0], span[1], list(zones)), lags)
+    rows = seen.filter("week is not null").groupBy("feed", "week", "wrote", "naive").agg(F.count("*").alias("n"), F.max("group").alias("group"), F.max("bare").alias("bare"))
+    rows = materialize(rows.filter("wrote is not null or bare"), "evidence")
+
+    def totals(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"feed": [f["feed"].iloc[0]], "group": [f["group"].dropna().max() if f["group"].notna().any() else None], "cost": [fit.costs(f)[1].sum(axis=0).astype(np.float32)]})
+
+    of_feed = materialize(rows.groupBy("feed").applyInPandas(totals, "feed string, group string, cost array<float>"), "feeds")
+
+    def likely(prior: np.ndarray):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                p = np.array([fit.shares(np.asarray(c), prior) for c in f["cost"]]).reshape(len(f), -1)
+                i, h = np.nonzero(p > 0.001)
+                yield pd.DataFrame({"group": f["group"].to_numpy()[i], "h": h, "p": p[i, h]})
+
+        return run
+
+    prior = fit.prior
+    for _ in range(3):  # what all feeds show, from what each of them shows by itself
+        p = of_feed.mapInPandas(likely(prior), "group string, h int, p double").groupBy("h").agg(F.sum("p").alias("p")).collect()  # a row per history
+        share = np.full(len(prior), 1e-6)
+        for r in p:
+            share[r["h"]] += r["p"]
+        prior = share / share.sum()
+    by_group = of_feed.mapInPandas(likely(prior), "group string, h int, p double").filter("group is not null").groupBy("group", "h").agg(F.sum("p").alias("p"))
+    by_group = by_group.groupBy("group").agg(F.collect_list(F.struct("h", "p")).alias("shares"))
+    with_prior = rows.drop("group").join(of_feed.select("feed", "group"), "feed").join(by_group, "group", "left")
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        own = prior * PRIOR_FEEDS
+        for r in f["shares"].iloc[0] if f["shares"].iloc[0] is not None else ():
+            own[r["h"]] += r["p"]
+        weeks, cost = fit.costs(f)
+        at = fit.path(cost, own / own.sum(), switch_cost)
+        wanted = np.isin(weeks, f["week"].to_numpy()[f["bare"].to_numpy(bool)])
+        return pd.DataFrame({"feed": f["feed"].iloc[0], "week": weeks[wanted], "zone": np.array(fit.names, object)[at[wanted]]})
+
+    return with_prior.groupBy("feed").applyInPandas(solve, schema)
+
+
+def estimate_zones(df: DataFrame, value: str, feed: str, arrival: str, zone: str | None = None, group: str | None = None, zones: tuple[str, ...] | None = None, switch_cost: float = VIOLATION) -> DataFrame:
+    """zone_estimates() of written values."""
+    return zone_estimates(materialize(parsed(df, value, "_w"), "written"), feed, arrival, zone, group, zones, switch_cost)
+
+
+def with_estimated_zones(df: DataFrame, value: str, zone: str, feed: str, arrival: str, group: str | None = None, zones: tuple[str, ...] | None = None, place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of df whose value can be read, with _w (see parse()) and the zone column filled from the feed's estimated
-    history where it is null or blank. Values are read once, into a table in the shared folder."""
+    history (zone_estimates()) where it is null or blank. Values are read once, into a table in the shared folder. place adds
+    or replaces the feed and group columns; it is called only if some row needs an estimate."""
     read = materialize(parsed(df, value, "_w"), "written")
-    blank = F.col(zone).isNull() | (F.trim(F.col(zone)) == "")
-    rows = read.select(F.col(feed).alias("feed"), F.col(arrival).cast("timestamp_ntz").alias("arrival"), "_w")
-    wanted = read.filter(blank).select(F.col(feed).alias("feed")).distinct()
-    found = zone_histories(rows, wanted=wanted).select(F.col("feed").alias("_feed"), F.col("month").alias("_month"), F.col("zone").alias("_zone"))
-    on = (F.col(feed) == F.col("_feed")) & (F.date_format(F.col(arrival), "yyyy-MM") == F.col("_month"))
+    blank = F.coalesce(F.trim(F.col(zone)), F.lit("")) == ""
+    # an instant, a date alone or a written zone needs no estimate
+    open_ = blank & F.col("_w.local").isNotNull() & ~F.col("_w.dated") & F.col("_w.offset").isNull() & F.col("_w.zone").isNull()
+    if read.filter(open_).isEmpty():
+        return read
+    read = place(read) if place else read
+    found = zone_estimates(read, feed, arrival, zone, group, zones).select(F.col("feed").alias("_feed"), F.col("week").alias("_week"), F.col("zone").alias("_zone"))
+    on = (F.coalesce(F.col(feed).cast("string"), F.lit("")) == F.col("_feed")) & (_week(F.col("_w.local")) == F.col("_week"))
     # only rows that lack a zone meet the histories
-    filled = read.filter(blank).join(found, on, "left").withColumn(zone, F.col("_zone")).drop("_feed", "_month", "_zone")
-    return read.filter(~blank).unionByName(filled)
+    filled = read.filter(open_).join(found, on, "left").withColumn(zone, F.col("_zone")).drop("_feed", "_week", "_zone")
+    return read.filter(~open_).unionByName(filled)

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 
@@ -33,6 +34,7 @@ CASES = [
     ("20220827", NY, "2022-08-27T00:00:00.000000Z"),
     ("3/13/22", NY, "2022-03-13T00:00:00.000000Z"),
     ("2024-02-29", None, "2024-02-29T00:00:00.000000Z"),
+    ("2024-07-01 10:00 CEST", NY, "2024-07-01T08:00:00.000000Z"), ("2024-07-01 10:00:00 JST", NY, "2024-07-01T01:00:00.000000Z"), ("2024-07-01 10:00 Europe/Paris", NY, "2024-07-01T08:00:00.000000Z"),
     ("2023-02-29", NY, None), ("2022-06-31T10:00:00Z", NY, None), ("20221301", NY, None), ("2024-01-01 25:00", NY, None), ("1/2/2024 13:00 PM", NY, None),
     ("2024-01-01T10:00:00[Mars/Base]", NY, None), ("2024-01-01 10:00:00 XQT", NY, None), ("2024-01-01 10:00", "nowhere", None), ("2024-01-01 10:00", None, None),
     ("TBD", NY, None), ("see docket", NY, None), ("--", NY, None), ("", NY, None), (None, NY, None), ("12345", NY, None), ("x" * 100_000, NY, None),
@@ -66,15 +68,45 @@ def _feed(spark, zone, moved=None):
 
 
 def test_missing_zones_are_estimated_from_arrivals(spark):
-    data = _feed(spark, "America/New_York") + _feed(spark, "America/Los_Angeles") + _feed(spark, "Pacific/Honolulu", "America/Chicago")
+    data = _feed(spark, "America/New_York") + _feed(spark, "Europe/Berlin") + _feed(spark, "Pacific/Honolulu", "America/Chicago")
     df = spark.createDataFrame(data, "feed string, v string, arrival timestamp_ntz, z string")
-    found = {(r["feed"], r["month"]): r["zone"] for r in T.estimate_zones(df, "v", "feed", "arrival").collect()}
-    assert {z for (f, _), z in found.items() if f == "America/New_York"} == {"America/New_York"}
-    assert {z for (f, _), z in found.items() if f == "America/Los_Angeles"} == {"America/Los_Angeles"}
-    assert found[("Pacific/Honolulu", "2024-03")] == "Pacific/Honolulu" and found[("Pacific/Honolulu", "2024-10")] == "America/Chicago"
     filled = T.with_estimated_zones(df, "v", "z", "feed", "arrival")
-    assert filled.count() == df.count() and filled.filter("z is null").count() == 0
+    assert filled.count() == df.count() and filled.filter("z is null and _w.instant is null and _w.offset is null").count() == 0
     assert T.resolved(filled, "_w", "z").count() == df.count()
+    # no row of these feeds wrote an offset: arrivals alone tell the offset, for some place
+    lag = F.timestamp_diff("MINUTE", F.col("utc"), F.col("arrival"))
+    fair = T.resolved(filled, "_w", "z").groupBy("feed").agg(F.avg((lag.between(60, 172)).cast("int")).alias("ok")).collect()
+    assert all(r["ok"] > 0.97 for r in fair)
+    months = T.estimate_zones(df.filter("feed = 'Pacific/Honolulu'"), "v", "feed", "arrival", zones=("Pacific/Honolulu", "America/Chicago"))
+    zones = [r["zone"] for r in months.orderBy("week").collect()]
+    assert zones == sorted(zones, reverse=True) and set(zones) == {"Pacific/Honolulu", "America/Chicago"}
+
+
+def test_evidence_of_a_feed_of_its_group_and_of_declared_zones(spark):
+    at = dt.datetime(2024, 1, 10, 12)
+    rows = [("a", "g", "2024-01-10T07:00:00-05:00", at, None), ("a", "g", "2024-07-10T07:00:00-04:00", at, None), ("a", "g", "2024-03-01 09:00", None, None), ("b", "g", "2024-02-01 08:00", None, " "), ("c", "h", "2024-02-01 08:00", at, "Asia/Tokyo"), ("c", "h", "2024-02-02 08:00", at, None), (None, None, "2024-02-03 08:00", at, None)]
+    df = spark.createDataFrame(rows, "feed string, grp string, v string, arrival timestamp_ntz, z string").withColumn("week", F.lit(1)).withColumn("wrote", F.lit("x"))
+    got = {r["v"]: r["z"] for r in T.with_estimated_zones(df, "v", "z", "feed", "arrival", "grp").collect()}
+    new_york = dt.datetime(2024, 3, 1, 14)
+    at_utc = lambda v: {r["utc"] for r in T.resolved(T.with_estimated_zones(df, "v", "z", "feed", "arrival", "grp").filter(F.col("v") == v), "_w", "z").collect()}
+    assert at_utc("2024-03-01 09:00") == {new_york} and at_utc("2024-02-01 08:00") == {dt.datetime(2024, 2, 1, 13), dt.datetime(2024, 1, 31, 23)}
+    assert got["2024-02-02 08:00"] == "Asia/Tokyo" and got["2024-02-03 08:00"] is not None
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_a_feed_that_moved_to_another_zone(spark):
+    """Entries of two courts of different zones as one feed: the first court's until the middle of 2022, the second's after."""
+    entries = spark.read.parquet("/root/testdata/sf0.1/feed_entries.parquet").dropDuplicates(["entry_id"])
+    early, late, moves = "avlkessary", "yrltemh-4", "2022-07-01"
+    one = entries.filter((F.col("court_id") == early) & (F.col("fetched_at") < moves)).unionByName(entries.filter((F.col("court_id") == late) & (F.col("fetched_at") >= moves)))
+    rest = entries.filter(~F.col("court_id").isin(early, late))
+    df = one.withColumn("court_id", F.lit("moved")).unionByName(rest).withColumn("z", F.lit(None).cast("string"))
+    rows = T.with_estimated_zones(df, "published", "z", "court_id", "fetched_at")
+    w = F.col("_w")
+    rows = rows.filter((F.col("court_id") == "moved") & ~w["dated"] & w["local"].isNotNull() & w["offset"].isNull() & w["zone"].isNull() & (F.timestamp_diff("DAY", w["local"], F.col("fetched_at").cast("timestamp_ntz")) < 20))
+    same = F.convert_timezone(F.col("z"), F.lit("UTC"), w["local"]) == F.convert_timezone(F.col("feed_zone"), F.lit("UTC"), w["local"])
+    n = rows.groupBy("feed_zone").agg(F.count("*").alias("n"), F.count_if(same).alias("right")).collect()
+    assert len(n) == 2 and all(r["n"] > 10 and r["right"] >= 0.9 * r["n"] for r in n), n
 
 
 def test_empty_tables(spark):
