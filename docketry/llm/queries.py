@@ -24,12 +24,8 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of opinions in the same group."""
-    rows = near_duplicates.membership(table(spark, d, "court_opinions"), "opinion_id", "full_text", OPINIONS_ALIKE).withColumnRenamed("id", "opinion_id")
-    # groups of one have no pair and need not be shuffled twice
-    several = rows.groupBy("group_id").agg(F.count("*").alias("n")).filter("n > 1").select("group_id")
-    rows = rows.join(several, "group_id")
-    a, b = rows.withColumnRenamed("opinion_id", "opinion_a"), rows.withColumnRenamed("opinion_id", "opinion_b")
-    return a.join(b, "group_id").filter("opinion_a < opinion_b").select("opinion_a", "opinion_b")
+    rows = near_duplicates.membership(table(spark, d, "court_opinions"), "opinion_id", "full_text", OPINIONS_ALIKE)
+    return near_duplicates.pairs(rows).select(F.col("a").alias("opinion_a"), F.col("b").alias("opinion_b"))
 
 
 def _actors(spark: SparkSession, d: str):
@@ -99,6 +95,17 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_scores, p8_rates)}
 
+# Opinions by definition: sets of three-word runs, all pairs that share a run, and the closure of what is alike.
+_ALIKE = r"""WITH RECURSIVE w AS (SELECT DISTINCT opinion_id AS id, full_text AS t, regexp_extract_all(lower(full_text), '[\p{L}\p{N}]+') AS ws FROM court_opinions WHERE full_text IS NOT NULL AND opinion_id IS NOT NULL),
+g AS (SELECT id, t, list_sort(list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)])) AS gs FROM w),
+k AS (SELECT id, CASE WHEN len(gs) > 0 THEN md5(array_to_string(gs, '|')) ELSE '=' || t END AS k, gs FROM g), s AS (SELECT k, any_value(gs) AS gs, min(id) AS id FROM k GROUP BY k),
+e AS (SELECT k, unnest(gs) AS x FROM s), shared AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.k <> b.k GROUP BY ALL),
+l AS (SELECT a, b FROM shared JOIN s sa ON sa.k = a JOIN s sb ON sb.k = b WHERE 2 * n >= len(sa.gs) + len(sb.gs) - n),
+r AS (SELECT k AS a, k AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS k, min(s.id) AS group_id FROM r JOIN s ON s.k = r.b GROUP BY 1), m AS (SELECT k.id, k.k, c.group_id FROM k JOIN c USING (k)) """
+
 ORACLE = {
+    "p2_groups": _ALIKE + "SELECT id AS opinion_id, group_id, (SELECT count(*) FROM l WHERE l.a = m.k) AS n_links FROM m",
+    "p2_found": _ALIKE + "SELECT DISTINCT a.id AS opinion_a, b.id AS opinion_b FROM m a JOIN m b ON a.group_id = b.group_id AND a.id < b.id",
     "p6_round_trip": "SELECT TRUE AS same, count(*) AS n_docs FROM documents",
 }

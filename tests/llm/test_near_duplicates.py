@@ -48,7 +48,7 @@ def corpus(seed, n=60):
     return out + [("e1", ""), ("e2", ""), ("n1", None), ("n2", None), ("s1", "See docket."), ("s2", "see docket"), (None, "some words without an id")]
 
 
-@pytest.mark.parametrize("seed,like", [(1, ND.Likeness(run=3, share=(1, 2))), (2, ND.Likeness()), (3, ND.Likeness(run=3, share=(1, 2), block_rows=64, partners=1)), (4, ND.Likeness(run=1, share=(2, 3), block_rows=64, partners=2))])
+@pytest.mark.parametrize("seed,like", [(1, ND.Likeness(run=3, share=(1, 2))), (2, ND.Likeness()), (3, ND.Likeness(run=3, share=(1, 2), block_rows=16, held=2, streamed=3, chunk_bytes=4000)), (4, ND.Likeness(run=1, share=(2, 3), block_bytes=500, chunk_bytes=500))])
 def test_groups_match_brute_force(spark, seed, like):
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "opinion_id string, full_text string, id string, n int").repartition(3)
@@ -68,17 +68,17 @@ def test_copies_are_one_representative_and_links_are_between_texts(spark):
 def test_a_hot_family_of_variants_is_one_group(spark):
     base = [f"w{i}" for i in range(80)]
     rows = [(f"f{i:03d}", " ".join([*base, f"x{i}", f"y{i}"])) for i in range(150)]
-    like = ND.Likeness(run=3, share=(1, 2), partners=4)
+    like = ND.Likeness(run=3, share=(1, 2), chunk_bytes=20_000)
     links, _ = ND.similar_texts(spark.createDataFrame(rows, "id string, t string"), "id", "t", like)
     assert links.count() < 150 * 149 / 4  # not all pairs
     assert {r["group_id"] for r in ND.groups(spark.createDataFrame(rows, "id string, t string"), "id", "t", like).collect()} == {"f000"}
 
 
-@pytest.mark.parametrize("layout", [{}, {"block_rows": 64}, {"block_bytes": 8000}])
+@pytest.mark.parametrize("layout", [{}, {"block_rows": 64, "held": 1}, {"block_bytes": 8000, "chunk_bytes": 2000}])
 def test_links_of_a_hot_family_are_all_counted(spark, layout):
     base = [f"w{i}" for i in range(30)]
     texts = [(f"f{i:03d}", " ".join([*base[: 12 + i % 19], f"x{i}", f"y{i}"])) for i in range(130)] + [("copy", " ".join([*base[:12], "x0", "y0"])), ("far", "nothing like it at all here")]
-    like = ND.Likeness(run=3, share=(1, 2), partners=4, **layout)
+    like = ND.Likeness(run=3, share=(1, 2), **layout)
     sets = {i: frozenset(tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)) for i, t in texts}
     others = set(sets.values())
     want = {i: sum(1 for b in others if b != a and 2 * len(a & b) >= len(a | b)) for i, a in sets.items()}
@@ -86,6 +86,49 @@ def test_links_of_a_hot_family_are_all_counted(spark, layout):
     assert got == want and want["f000"] > 4 and want["far"] == 0 and len(set(want.values())) > 3
 
 
+def test_one_id_with_two_texts_and_repeats(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [("x", a), ("x", a), ("x", b), ("y", a + " more"), ("z", b + " more"), ("q", "short"), ("q", "short"), ("r", "short")]
+    out = ND.groups(spark.createDataFrame(rows, "id string, t string"), "id", "t", ND.Likeness(run=3, share=(1, 2))).collect()
+    assert sorted((r["id"], r["group_id"], r["n_links"]) for r in out) == [("q", "q", 0), ("r", "q", 0), ("x", "x", 1), ("x", "x", 1), ("y", "x", 1), ("z", "x", 1)]
+
+
+def test_pairs_of_a_group_are_cut_into_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ND, "PAIR_ROWS", 7)
+    members = [(f"{g}{i:03d}", g) for g, n in (("a", 60), ("b", 2), ("c", 1)) for i in range(n)]
+    got = [(r["a"], r["b"]) for r in ND.pairs(spark.createDataFrame(members, "id string, group_id string")).collect()]
+    want = {(x, y) for x, g in members for y, h in members if g == h and x < y}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_every_pair_of_blocks_that_may_be_alike_meets_once():
+    r = random.Random(5)
+    like = ND.Likeness(run=3, share=(1, 2), held=3, streamed=4)
+    meta = []
+    for block in range(40):
+        cls = 5 + block // 15
+        n = sorted(r.randrange(1 << cls, 2 << cls) for _ in range(2))
+        pop = sorted(r.randrange(n[0] // 2, n[1]) for _ in range(2))
+        meta.append({"block": block, "cls": cls, "n_min": n[0], "n_max": n[1], "low": pop[0], "high": pop[1]})
+    plan, by = ND._tasks(meta, like, 4), {m["block"]: m for m in meta}
+    met = []
+    for _, rows in plan.groupby("task"):
+        held, streams = rows[~rows["streams"]]["block"], rows[rows["streams"]]["block"]
+        assert len(held) <= 3 and len(streams) <= 4
+        met += [(a, b) for a in held for b in streams if a <= b and not like.far(by[a], by[b])]
+    assert len(met) == len(set(met)) and set(met) == {(a, b) for a in by for b in by if a <= b and not like.far(by[a], by[b])}
+
+
+def test_components_in_rounds_equal_those_in_one_task(spark, monkeypatch):
+    from docketry.llm import components as C
+
+    r = random.Random(2)
+    links = spark.createDataFrame([(f"{r.randrange(120):03d}", f"{r.randrange(120):03d}") for _ in range(70)], "a string, b string")
+    one = {r["id"]: r["component"] for r in components(links).collect()}
+    monkeypatch.setattr(C, "ONE_TASK", 0)
+    assert {r["id"]: r["component"] for r in components(links).collect()} == one and len(set(one.values())) > 5
+
+
 def test_empty_table(spark):
     assert ND.groups(spark.createDataFrame([], "id string, t string"), "id", "t").count() == 0
     with pytest.raises(ValueError):
@@ -104,7 +147,7 @@ def test_bitmaps_never_hide_likeness():
         assert far <= len(a ^ b)
         wide = ND.bitmap(ha, 2 * bits)
         assert (wide[: len(wide) // 2] | wide[len(wide) // 2 :] == ND.bitmap(ha, bits)).all()
-        if like.alike(len(a & b), len(a) + len(b)):
+        if 2 * len(a & b) >= len(a | b):
             limit, scale = like.radius(len(a) + len(b))
             assert far <= limit // scale
 
