@@ -35,7 +35,7 @@ def _actors(spark: SparkSession, d: str):
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The registered judge that cases and findings name, and the first row of every actor's entity."""
-    rows, forms, weights = _actors(spark, d)
+    rows, forms = _actors(spark, d)
     out = rows.filter("entity != id").select(F.lit("actors").alias("src"), F.col("id").alias("rec_id"), F.col("entity").alias("actor_id"))
     named = None
     for src, name, key, order in (("cases", "court_cases", "case_id", "inserted_at"), ("findings", "constitutional_findings", "finding_id", "ingested_at")):
@@ -44,7 +44,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
         named = held if named is None else named.unionByName(held)
     scope = [F.lit("judge"), F.col("jurisdiction")]
     judges = forms.filter(F.startswith("scope", F.lit("judge\x1f")))
-    found = name_links.match(name_links.spellings(named, scope, F.col("judge")), judges, weights)
+    found = name_links.match(name_links.spellings(named, scope, F.col("judge")), judges)
     keyed = named.withColumn("scope", F.concat_ws("\x1f", *scope))
     linked = keyed.join(found, (keyed.scope == found.scope) & (keyed.judge == found.text)).select("src", "rec_id", F.col("entity").alias("actor_id"))
     return out.unionByName(linked)

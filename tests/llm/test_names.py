@@ -38,7 +38,7 @@ def link(spark, rows):
 
 
 def test_entities(spark):
-    rows, _, _ = link(spark, ACTORS)
+    rows, _ = link(spark, ACTORS)
     got = {r["id"]: r["entity"] for r in rows.collect()}
     assert got["a1"] == got["a2"] == got["a3"] == "a1" and got["a4"] == "a4" and got["a5"] == "a5"
     assert got["b1"] == "b1" and got["b2"] == "b2" and got["b3"] == "b3" and got["c1"] == got["c2"] == "c1" and (got["d1"], got["d2"], got["d3"]) == ("d1", "d2", "d3")
@@ -46,25 +46,69 @@ def test_entities(spark):
 
 
 def test_match(spark):
-    _, forms, weights = link(spark, ACTORS)
+    _, forms = link(spark, ACTORS)
     texts = ["dulesby, o. v.", "Judge Dulesby", "Dulezby", "N. Bathirvson", "Bathirvson", "Nestor Bathirvson", "Orsolya B. Dulesby", "Someone Else", "Per Curiam", "Dulesby County Sheriff's Office", None, "", "dulesby, o. v."]
     q = spark.createDataFrame([(t, "X") for t in texts] + [("Judge Dulesby", "Q"), ("Judge Dulesby", None)], "judge string, jurisdiction string")
-    found = L.match(L.spellings(q, [F.lit("judge"), F.col("jurisdiction")], F.col("judge")), forms, weights)
+    found = L.match(L.spellings(q, [F.lit("judge"), F.col("jurisdiction")], F.col("judge")), forms)
     assert {(r["text"], r["entity"]) for r in found.collect()} == {("dulesby, o. v.", "a1"), ("Judge Dulesby", "a1"), ("Dulezby", "a1"), ("Nestor Bathirvson", "b1")}
 
 
 def test_empty(spark):
-    rows, forms, weights = link(spark, [])
+    rows, forms = link(spark, [])
     assert rows.count() == 0 and forms.count() == 0
 
 
 def test_prefixes_lose_no_pair(spark):
+    """Every pair of surnames as close as SURNAME_CLOSE asks for is a candidate."""
     import random
 
     r = random.Random(3)
-    words = ["".join(r.choice("abcd") for _ in range(r.randrange(2, 9))) for _ in range(60)]
-    forms = spark.createDataFrame([("s", w, sorted({f"^{w}$"[i : i + 2] for i in range(len(w) + 1)})) for w in set(words)], "scope string, form string, grams array<string>")
+    words = {"".join(r.choice("abcdrn") for _ in range(r.randrange(2, 14))) for _ in range(60)}
+    for w in sorted(words):
+        for _ in range(6):
+            t = list(w)
+            for _ in range(r.randrange(1, 4)):
+                k = r.randrange(len(t))
+                edit = r.choice(["swap", "drop", "add", "change"])
+                if edit == "swap" and k + 1 < len(t):
+                    t[k], t[k + 1] = t[k + 1], t[k]
+                elif edit == "drop" and len(t) > 2:
+                    del t[k]
+                elif edit == "add":
+                    t.insert(k, r.choice("abcdrn"))
+                else:
+                    t[k] = r.choice("abcdrn")
+            words.add("".join(t))
+    names = {f"person|{w}|||": w for w in words}
+    forms = spark.createDataFrame([("s", f, N.heads(N.from_form(f))) for f in names], "scope string, form string, heads array<string>")
     got = {(x["form_a"], x["form_b"]) for x in L.candidates(forms, forms, L.gram_order(forms)).collect()}
-    g = {x["form"]: set(x["grams"]) for x in forms.collect()}
-    need = {(a, b) for a in g for b in g if len(g[a] & g[b]) >= L.GRAM_SHARE * len(g[a] | g[b])}
-    assert need <= got
+    need = {(a, b) for a in names for b in names if N.closeness(names[a], names[b]) >= N.SURNAME_CLOSE}
+    assert need <= got and len(need) > len(names)
+
+
+def test_other_orders_and_scripts(spark):
+    like = lambda a, b: N.likeness(N.read(a), N.read(b), lambda t: 5.0)
+    same = [("Smith John", "John Smith"), ("Smith John A.", "John A. Smith"), ("Van der Berg, Jan", "Jan van der Berg"), ("José García López", "Jose Garcia"), ("Иванов Пётр", "Пётр Иванов"), ("Παπαδόπουλος, Νίκος", "Νίκος Παπαδόπουλος"), ("王伟", "王伟")]
+    assert all(like(a, b) >= L.LINK and not N.contradict(N.read(a), N.read(b)) for a, b in same)
+    other = [("Smith John", "Brown Smith"), ("Иванов Пётр", "Иванов Сергей"), ("王伟", "李娜"), ("John Allen Smith", "Mary Allen")]
+    assert all(like(a, b) < L.LINK for a, b in other)
+    rows = [(f"r{i}", "judge", "X", t, None, 0) for i, t in enumerate(["Иванов, Пётр", "Пётр Иванов", "John Smith", "Smith John", "王伟", "王 伟", "李娜"])]
+    got = {r["id"]: r["entity"] for r in link(spark, rows)[0].collect()}
+    assert got["r0"] == got["r1"] == "r0" and got["r2"] == got["r3"] == "r2" and len({got["r4"], got["r6"], "r0"}) == 3
+
+
+def test_equal_names_with_different_numbers_are_two(spark):
+    rows = [("a", "judge", "X", "J. Quill", "1", 0), ("b", "judge", "X", "J. Quill", "2", 0), ("c", "judge", "X", "J. Quill", "2", 0), ("d", "judge", "X", "Jay Quill", "1", 0), ("e", "judge", "X", "J. Quill", None, 0)]
+    ids, forms = link(spark, rows)
+    got = {r["id"]: r["entity"] for r in ids.collect()}
+    assert got["a"] == got["d"] == "a" and got["b"] == got["c"] == "b" and got["e"] == "e"
+    q = L.spellings(spark.createDataFrame([("J. Quill", "X"), ("Jay Quill", "X")], "judge string, jurisdiction string"), [F.lit("judge"), F.col("jurisdiction")], F.col("judge"))
+    assert {(r["text"], r["entity"]) for r in L.match(q, forms).collect()} == {("Jay Quill", "a")}
+
+
+def test_nicknames_are_a_parameter():
+    given = N.Given({"tolya": ("anatoly",)})
+    read = lambda t: N.read(t)
+    weight = lambda t: 1.0
+    assert N.likeness(read("Tolya Brin"), read("Anatoly Brin"), weight, given) >= L.LINK > N.likeness(read("Tolya Brin"), read("Anatoly Brin"), weight)
+    assert N.likeness(read("Bob Brin"), read("Robert Brin"), weight, N.Given({})) < L.LINK
