@@ -23,19 +23,21 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.session import materialize
+
 #: Labelled documents a model is trained on at most, taken by a hash of their id, and characters of them all together.
-LABELLED, LABELLED_CHARS = 6_000, 40_000_000
+LABELLED, LABELLED_CHARS = 6_000, 10_000_000
 #: Rounds in which passages of toxic documents may change sides.
 ROUNDS = 3
 #: Words added to a passage's length, so that one or two words alone score little.
 SHORT = 2.0
 #: Words of a stretch of a passage that is scored like a passage.
 STRETCHES = (5, 8)
-#: A word is known if it is in two labelled documents, or one of so many: names are not.
-KNOWN_SHARE = 1500
+#: A word is known if so many labelled documents have it, at every size of the sample.
+KNOWN_IN = 2
 #: Weight of an ordinary document in choosing the threshold: toxic ones are more frequent among labels than in a corpus.
 ORDINARY_WEIGHT = 4.0
 
@@ -236,14 +238,13 @@ def train(ids: list, texts: list[str | None], toxic: list[int]) -> Model:
     texts, y = [texts[i] for i in order], np.array([bool(toxic[i]) for i in order], bool)
     p = Passages(texts)
     # words of several documents, tricks undone by the words that are written plainly
-    least = max(2, len(texts) // KNOWN_SHARE)
     for known in (None, {}):
         seen = known if known is None else {w: 0 for w in vocabulary}
         spelled = [undone(w, seen) for w in p.words]
         pairs = pd.DataFrame({"w": p.code, "d": p.doc}).drop_duplicates()
         pairs = pairs.assign(w=np.array(spelled, object)[pairs["w"].to_numpy()] if len(pairs) else []).drop_duplicates()
         n = pairs.groupby("w").size() if len(pairs) else pd.Series(dtype=int)
-        vocabulary = sorted(w for w, k in n.items() if k >= least and w not in ("#", "*") and w not in _END)
+        vocabulary = sorted(w for w, k in n.items() if k >= KNOWN_IN and w not in ("#", "*") and w not in _END)
     model = Model({w: i + FIRST_WORD for i, w in enumerate(vocabulary)})
     if y.all() or not y.any() or not p.n:
         model.threshold = np.inf
@@ -273,15 +274,24 @@ def train(ids: list, texts: list[str | None], toxic: list[int]) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> pd.DataFrame:
-    """Labelled documents in the order of a hash of their id, whole: LABELLED at most, and as many as have LABELLED_CHARS
-    characters together. Null labels and texts are left out; of several labels of a document the largest holds."""
+    """Labelled documents in the order of a hash of their id, whole: LABELLED at most, and of these each that still fits in
+    LABELLED_CHARS characters; one that does not is left out alone. Null labels and texts are left out; of several labels
+    of a document the largest holds. A class that has labelled texts but none in the sample is an error."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    first = known.orderBy(F.xxhash64("id"), "id").limit(LABELLED)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    sizes = texts.select("id", F.length("text").alias("n")).join(F.broadcast(first), "id")
-    so_far = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id"))  # LABELLED rows of two numbers
-    kept = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= LABELLED_CHARS).select("id", "toxic").distinct()
-    return texts.join(F.broadcast(kept), "id").toPandas()
+    sized = materialize(texts.select("id", F.length("text").alias("n")).join(known, "id").distinct(), "labelled")
+    first = sized.orderBy(F.xxhash64("id"), "id", "n").limit(LABELLED).collect()
+    kept, room = [], LABELLED_CHARS
+    for r in first:
+        if r["n"] <= room:
+            kept.append((r["id"], r["n"], r["toxic"]))
+            room -= r["n"]
+    there = {r["t"] for r in sized.select((F.col("toxic") > 0).alias("t")).distinct().collect()}
+    if missing := there - {bool(t) for _, _, t in kept}:
+        raise ValueError(f"no labelled text of class {sorted(missing)} fits in the sample")
+    wanted = docs.sparkSession.createDataFrame(kept, f"id {docs.schema[id_col].dataType.simpleString()}, n int, toxic {sized.schema['toxic'].dataType.simpleString()}")
+    found = texts.withColumn("n", F.length("text")).join(F.broadcast(wanted), ["id", "n"])  # LABELLED rows
+    return found.select("id", "text", "toxic").distinct().toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -298,30 +308,31 @@ def _scored(model):
             held["m"] = pickle.loads(model.value)
         m = held["m"]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            kept, texts = batch.columns[:-1], batch.columns[-1].to_pylist()
             at, chars = 0, 0
             for i, t in enumerate(texts):
                 chars += len(t or "")
                 if chars >= 4_000_000 or i == len(texts) - 1:
                     s = m.scores(texts[at : i + 1])
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), pa.array(np.where(np.isfinite(s), s, np.nan), pa.float64(), from_pandas=True), pa.array(s >= m.threshold)], ["id", "score", "toxic"])
+                    yield pa.RecordBatch.from_arrays([*[c.slice(at, i + 1 - at) for c in kept], pa.array(np.where(np.isfinite(s), s, np.nan), pa.float64(), from_pandas=True), pa.array(s >= m.threshold)], [f"c{k}" for k in range(len(kept))] + ["score", "toxic"])
                     at, chars = i + 1, 0
 
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, toxic) of every row: score is null for a null text and one without words, which are not toxic.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *keep, score, toxic) of every row: score is null for a null text and one without words, which are not toxic.
 
-    Whole texts are scored, repeated rows each; other columns are ignored. The model that is sent to executors is
-    bounded by the sample it was trained on."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    Whole texts are scored, repeated rows each; columns other than those to keep are ignored. The model that is sent to
+    executors is bounded by the sample it was trained on."""
+    columns = [c for c in (id_col, *keep)]
+    kinds = [docs.schema[c].dataType.simpleString() for c in columns]
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(_scored(sent), f"id {kind}, score double, toxic boolean").withColumnRenamed("id", id_col)
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(text_col).alias("text"))
+    scored = plain.mapInArrow(_scored(sent), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)) + ", score double, toxic boolean")
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "score", "toxic")
 
 
-def rates(docs: DataFrame, scored: DataFrame, by: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """Documents, toxic ones and their share per value of a column; ids are unique."""
-    rows = docs.select(id_col, by).join(scored, id_col)
-    return rows.groupBy(by).agg(F.count("*").alias("n_docs"), F.count_if("toxic").alias("n_toxic"), F.round(F.avg(F.col("toxic").cast("int")), 6).alias("rate"))
+def rates(scored: DataFrame, by: str = "source") -> DataFrame:
+    """Documents, toxic ones and their share per value of a column that score() kept; null is a value of its own."""
+    return scored.groupBy(by).agg(F.count("*").alias("n_docs"), F.count_if("toxic").alias("n_toxic"), F.round(F.avg(F.col("toxic").cast("int")), 6).alias("rate"))

@@ -77,10 +77,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_packed(spark, d), CAPACITY)
 
 
+def _abuse(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score(docs, abuse.fit(docs, table(spark, d, "labels")), keep=keep)
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every document and whether it holds a toxic passage."""
-    docs = table(spark, d, "documents")
-    return abuse.score(docs, abuse.fit(docs, table(spark, d, "labels")))
+    return _abuse(spark, d)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +94,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     """Toxic documents per source."""
-    return abuse.rates(table(spark, d, "documents"), p8_scores(spark, d))
+    return abuse.rates(_abuse(spark, d, "source"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_scores, p8_rates)}

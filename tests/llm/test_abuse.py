@@ -69,10 +69,10 @@ def test_scores_in_spark(spark):
     docs = spark.createDataFrame([(i, t, "s" if i % 2 else None, 1) for i, t in enumerate(texts)] + [(1000, None, "s", 1), (1001, "", "q", 1), (1002, "x " * 300_000 + TOXIC[1].format(b="house"), "q", 1)], "doc_id bigint, text string, source string, toxic int")
     labels = spark.createDataFrame([(i, t) for i, t in enumerate(y)] + [(0, y[0]), (1000, 1), (5000, 1), (7, None)], "doc_id bigint, toxic int")
     m = abuse.fit(docs, labels)
-    scored = abuse.score(docs, m)
+    scored = abuse.score(docs, m, keep=("source",))
     got = {r["doc_id"]: r for r in scored.collect()}
     assert len(got) == 203 and got[1000]["score"] is None and not got[1000]["toxic"] and not got[1001]["toxic"] and got[1002]["toxic"]
-    rates = {r["source"]: r for r in abuse.rates(docs, scored).collect()}
+    rates = {r["source"]: r for r in abuse.rates(scored).collect()}
     assert rates["q"]["n_docs"] == 2 and rates[None]["n_docs"] == 100
     assert abuse.score(docs.limit(0), m).count() == 0
 
@@ -82,3 +82,22 @@ def test_without_labels_nothing_is_flagged(spark):
     for rows in ([], [(1, 0)], [(1, 1)]):
         m = abuse.fit(docs, spark.createDataFrame(rows, "doc_id bigint, toxic int"))
         assert not abuse.score(docs, m).first()["toxic"]
+
+
+def test_a_text_beyond_the_bound_is_left_out_alone(spark, monkeypatch):
+    monkeypatch.setattr(abuse, "LABELLED_CHARS", 500)
+    docs = spark.createDataFrame([(i, "word " * (200 if i == 3 else 4)) for i in range(12)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(4, 0), (4, None)], "doc_id bigint, toxic int")
+    rows = abuse.labelled_sample(docs, labels)
+    assert sorted(rows["id"]) == [i for i in range(12) if i != 3]
+    with pytest.raises(ValueError):
+        abuse.labelled_sample(docs.filter("doc_id = 3 or doc_id % 2 = 0"), labels)
+
+
+def test_known_words_do_not_depend_on_the_size_of_the_sample():
+    texts, y = corpus(4, 40)
+    texts[0], texts[1] = texts[0] + " quuxword here.", texts[1] + " quuxword there."
+    for n in (40, 4000):
+        more = [f"Filler line {i}." for i in range(n - 40)]
+        m = abuse.train(list(range(n)), texts + more, y + [0] * len(more))
+        assert abuse.undone("quuxword", None) in m.known
