@@ -1,9 +1,9 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary, and back.
 
 The pattern of the vocabulary cuts a text into words that merge on their own, so a word's ids do not depend on its text.
-Documents are cut into words with positions, in blocks whose words are numbered; all blocks' distinct words meet in one
-shuffle, where each distinct word is encoded once; its ids go back to the blocks that hold it, and every block puts its
-documents together by position. What is shuffled is a dictionary per block, not every occurrence of a word.
+Documents are cut into words with positions, in blocks whose words are numbered; all blocks' words are made distinct over
+the corpus, each distinct word is encoded once, its ids are joined back to the blocks that hold it, and every block puts
+its documents together by position. What is shuffled is a dictionary per block, not every occurrence of a word.
 """
 
 from __future__ import annotations
@@ -37,19 +37,44 @@ def vocabulary_folder() -> str:
     return os.path.dirname(spec.origin) if spec and spec.origin else "/opt/tokenizers"
 
 
+def _parsed(file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
+
+
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id of a rank file."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return _parsed(f.read())
+
+
+def _encoding(of: dict[bytes, int]):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=of, special_tokens={})
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
     """The encoder of a rank file; it knows no special tokens, so their strings are ordinary text."""
-    import tiktoken
+    return _encoding(ranks(path))
+
+
+def _sent(spark: SparkSession, path: str):
+    """The rank file, to executors, which need not hold it; as large as the file."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+_HELD: dict[int, object] = {}
+
 
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+def _encoder_of(sent):
+    """The encoder of a rank file that was sent, made once in a Python worker."""
+    at = hash(sent.value)
+    if at not in _HELD:
+        _HELD[at] = _encoding(_parsed(sent.value))
+    return _HELD[at]
 
 
 @lru_cache(maxsize=1)
@@ -118,19 +143,12 @@ def _one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _encode_words(path: str):
+def _encode_words(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(path).encode_ordinary, {}
+        enc = _encoder_of(sent).encode_ordinary
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            parts = []
-            for w in coded.dictionary.to_pylist():
-                if w not in known:
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[w] = np.asarray(enc(w), np.uint32).tobytes()
-                parts.append(known[w])
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(parts, pa.binary()).take(coded.indices)], ["block", "at", "coded"])
+            words = batch.column("word")
+            yield pa.RecordBatch.from_arrays([words, pa.array([np.asarray(enc(w), np.uint32).tobytes() for w in words.to_pylist()], pa.binary())], ["word", "coded"])
 
     return run
 
@@ -163,9 +181,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = materialize(plain.mapInArrow(_blocks, f"block bigint, ids array<{kind}>, lens binary, words_at binary, words array<string>"), "blocks")
-    # rebalance, not repartition: words that every block has may be split over tasks when they are too many
-    words = blocks.select("block", F.posexplode("words").alias("at", "word")).hint("rebalance", "word")
-    coded = words.mapInArrow(_encode_words(path), "block bigint, at int, coded binary")
+    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    # a row per distinct word of the corpus; its blocks' rows meet it in a plain join, which may be split where a word is in very many
+    once = words.select("word").distinct().mapInArrow(_encode_words(_sent(docs.sparkSession, path)), "word string, coded binary")
+    coded = words.join(once, "word").select("block", "at", "coded")
     whole = blocks.select("block", "ids", "lens", "words_at").groupBy("block").cogroup(coded.groupBy("block"))
     return whole.applyInArrow(_assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -187,15 +206,15 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     return encoded.select(id_col).join(pieces.select(id_col, text.alias("text")), id_col, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def _count(path: str):
+def _count(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(path).encode_ordinary, {}
+        enc, known = _encoder_of(sent).encode_ordinary, {}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _slices(texts):
                 lens, order, words = _numbered(texts[a:b])
                 if len(known) > 500_000:
-                    known.clear()
+                    known.clear()  # only a cache: counts need no shuffle, so each task sizes its own words
                 sizes = np.zeros(len(words), np.int64)
                 for i, w in enumerate(words.to_pylist()):
                     if (n := known.get(w)) is None:
@@ -211,4 +230,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, n_tokens) of every row, 0 for null and empty texts; needs no shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(_count(vocabulary or rank_file()), f"id {kind}, n_tokens bigint").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(_count(_sent(docs.sparkSession, vocabulary or rank_file())), f"id {kind}, n_tokens bigint").withColumnRenamed("id", id_col)
