@@ -181,11 +181,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = materialize(plain.mapInArrow(_blocks, f"block bigint, ids array<{kind}>, lens binary, words_at binary, words array<string>"), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    words = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word"))
     # a row per distinct word of the corpus; its blocks' rows meet it in a plain join, which may be split where a word is in very many
     once = words.select("word").distinct().mapInArrow(_encode_words(_sent(docs.sparkSession, path)), "word string, coded binary")
-    coded = words.join(once, "word").select("block", "at", "coded")
-    whole = blocks.select("block", "ids", "lens", "words_at").groupBy("block").cogroup(coded.groupBy("block"))
+    coded = words.join(once, "word").select("of", "at", "coded")
+    whole = blocks.select("block", "ids", "lens", "words_at").groupBy("block").cogroup(coded.groupBy("of"))
     return whole.applyInArrow(_assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
