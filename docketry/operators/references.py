@@ -15,8 +15,8 @@ from docketry.session import materialize
 
 #: Leading hexadecimal digits that name a slice of key space, which so holds 65,536 keys at most.
 SLICE_DIGITS = 28
-#: Salts over which the rows of one referred key are spread when states are joined back.
-SALTS = 16
+#: Rows of one referred key that meet in one task when states are joined back; a key with more is spread over salts.
+SALT_ROWS = 250_000
 
 
 def hex_key(col: Column) -> Column:
@@ -31,6 +31,11 @@ def hex_key(col: Column) -> Column:
     return F.when(plain, low).when(~blank, F.when(F.length(digits) == 32, digits).otherwise(F.concat(F.lit("?"), digits)))
 
 
+def keyed_references(refs: DataFrame) -> DataFrame:
+    """refs with key, their key in one form, as a table in the shared folder: it is read several times."""
+    return materialize(_with_key(refs.select("src_table", "src_field", "rec_id", "parent", "ref", "at")).drop("ref"), "references")
+
+
 def _with_key(rows: DataFrame) -> DataFrame:
     """rows with key, the key that ref writes; blank references are dropped. Generated, so that it is computed once."""
     return rows.select("*", F.explode(F.filter(F.array(hex_key(F.col("ref"))), lambda k: k.isNotNull())).alias("key"))
@@ -61,13 +66,13 @@ def key_runs(parents: DataFrame) -> DataFrame:
 def reference_states(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """State of every referred key that has a problem.
 
-    refs: (parent, key, at); parents: (parent, key, since). Gives (parent, key, found, since): found is false where the
+    refs: (parent, key, at); parents: (parent, key, since). Gives (parent, key, n, found, since): n counts its references, found is false where the
     key lies beyond the end of the run that starts at or before it; else since is when the key came, and some reference
     is earlier. Distinct keys are aggregated first: a key that a third of all rows refer to is one row here."""
     wanted = (
         refs.filter(F.col("key").isNotNull())
         .groupBy("parent", "key")
-        .agg(F.min("at").alias("first_at"))
+        .agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
         .withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     )
     kind = dict(parents.dtypes)["since"]
@@ -75,35 +80,36 @@ def reference_states(refs: DataFrame, parents: DataFrame) -> DataFrame:
     nothing = F.when(F.lit(False), F.struct(F.lit("").alias("start"), F.lit("").alias("stop"), F.lit(None).cast(kind).alias("newest")))
     both = (
         key_runs(parents)
-        .select("parent", "slice", F.col("start").alias("key"), F.lit(0).alias("side"), run.alias("run"), F.lit(None).cast(kind).alias("first_at"))
-        .unionByName(wanted.select("parent", "slice", "key", F.lit(1).alias("side"), nothing.alias("run"), F.col("first_at").cast(kind).alias("first_at")))
+        .select("parent", "slice", F.col("start").alias("key"), F.lit(0).alias("side"), run.alias("run"), F.lit(None).cast(kind).alias("first_at"), F.lit(0).cast("bigint").alias("n"))
+        .unionByName(wanted.select("parent", "slice", "key", F.lit(1).alias("side"), nothing.alias("run"), F.col("first_at").cast(kind).alias("first_at"), "n"))
     )
     w = Window.partitionBy("parent", "slice").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, 0)
     matched = both.withColumn("run", F.last("run", ignorenulls=True).over(w)).filter("side = 1")
     matched = matched.withColumn("found", F.coalesce(F.col("run.stop") >= F.col("key"), F.lit(False)))
-    suspects = matched.filter(~F.col("found") | (F.col("run.newest") > F.col("first_at"))).select("parent", "key", "run", "first_at", "found")
+    suspects = matched.filter(~F.col("found") | (F.col("run.newest") > F.col("first_at"))).select("parent", "key", "n", "run", "first_at", "found")
     suspects = materialize(suspects, "suspects")  # few keys, read twice
     single = ~F.col("found") | (F.col("run.start") == F.col("run.stop"))
-    sure = suspects.filter(single).select("parent", "key", "found", F.when(F.col("found"), F.col("run.newest")).alias("since"))
+    sure = suspects.filter(single).select("parent", "key", "n", "found", F.when(F.col("found"), F.col("run.newest")).alias("since"))
     # in a longer run newest may be another key's time
-    open_ = suspects.filter(~single).select("parent", "key", "found", "first_at")
+    open_ = suspects.filter(~single).select("parent", "key", "n", "found", "first_at")
     since = parents.groupBy("parent", "key").agg(F.min("since").alias("since"))
-    exact = open_.join(since, ["parent", "key"]).filter(F.col("since") > F.col("first_at")).select("parent", "key", "found", "since")
+    exact = open_.join(since, ["parent", "key"]).filter(F.col("since") > F.col("first_at")).select("parent", "key", "n", "found", "since")
     return sure.unionByName(exact)
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """References whose target is absent.
 
-    refs: (src_table, src_field, rec_id, parent, ref, at), ref as written; parents: (parent, ref, since). Gives
+    refs: (src_table, src_field, rec_id, parent, ref, at), ref as written, or keyed_references() of these; parents: (parent, ref, since). Gives
     (src_table, src_field, rec_id, at, ref_state) with `missing` where no such key exists and `late` where the key came
     after the row that refers to it. A null or blank ref is no reference; a null time is never late; an empty parent
     table makes every reference missing; repeated rows are the caller's to dedupe."""
-    keyed = _with_key(refs.select("src_table", "src_field", "rec_id", "parent", "ref", "at")).drop("ref")
-    states = reference_states(keyed, _with_key(parents.select("parent", "ref", "since")).drop("ref"))
+    keyed = refs if "key" in refs.columns else keyed_references(refs)
+    states = materialize(reference_states(keyed, _with_key(parents.select("parent", "ref", "since")).drop("ref")), "states")
     # The problem keys are few; the rows of one key are spread over salts, so that no task gets a hot key whole.
-    salted = states.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("rec_id", "src_field"), F.lit(SALTS)).cast("int"))
+    salts = max(1, -(-(states.agg(F.max("n")).first()[0] or 0) // SALT_ROWS))
+    salted = states.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("rec_id", "src_field"), F.lit(salts)).cast("int"))
     state = F.when(~F.col("found"), "missing").when(F.col("since") > F.col("at"), "late")
     return (
         rows.join(salted, ["parent", "key", "salt"])
@@ -115,7 +121,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
 def orphan_report(orphans: DataFrame, refs: DataFrame) -> DataFrame:
     """References, missing and late ones, per table, field and month of the referring row; a null time is month null."""
     month = F.date_format("at", "yyyy-MM").alias("month")
-    total = _with_key(refs).groupBy("src_table", "src_field", month).agg(F.count("*").alias("n_refs"))
+    keyed = refs if "key" in refs.columns else _with_key(refs)
+    total = keyed.groupBy("src_table", "src_field", month).agg(F.count("*").alias("n_refs"))
     bad = orphans.groupBy("src_table", "src_field", month).agg(F.count_if(F.col("ref_state") == "missing").alias("n_missing"), F.count_if(F.col("ref_state") == "late").alias("n_late"))
     on = (total.src_table == bad.src_table) & (total.src_field == bad.src_field) & total.month.eqNullSafe(bad.month)
     return total.join(bad, on, "left").select(total.src_table, total.src_field, total.month, "n_refs", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_missing", "n_late")])

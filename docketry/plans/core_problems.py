@@ -15,25 +15,25 @@ from docketry.session import table
 # -- 1. hierarchies -------------------------------------------------------------------------------------------------
 
 
-def _courts(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(H.parent_links(table(spark, d, "court_registry"), "court_id", "parent_court", "refreshed_at"))
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return H.parent_links(table(spark, d, "court_registry"), "court_id", "parent_court", "refreshed_at")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Courts without a root: on, or with parents that run into, a loop."""
-    return _courts(spark, d).filter(F.col("cycle_id").isNotNull()).select(F.col("id").alias("court_id"), "cycle_id")
+    return H.cycles(_links(spark, d)).select(F.col("id").alias("court_id"), "cycle_id")
 
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth, root, cycle and number of courts beneath, for every court. Counts that may be null are doubles, which
     both engines hand over alike."""
-    tree = H.with_descendant_counts(_courts(spark, d))
+    tree = H.hierarchy(_links(spark, d), counts=True)
     return tree.select(F.col("id").alias("court_id"), F.col("parent").alias("parent_court"), "root", F.col("depth").cast("double"), F.array_join("path", "/").alias("path"), "cycle_id", "on_cycle", F.col("n_descendants").cast("double"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every court beneath every court, with the distance."""
-    return H.descendants(_courts(spark, d)).select(F.col("id").alias("court_id"), F.col("descendant").alias("descendant_id"), "distance")
+    return H.descendants(H.hierarchy(_links(spark, d))).select(F.col("id").alias("court_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 # -- 3. written times -----------------------------------------------------------------------------------------------
@@ -125,7 +125,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per table, field and month of created_at."""
-    refs = _references(spark, d)
+    refs = R.keyed_references(_references(spark, d))
     return R.orphan_report(R.orphan_references(refs, _parents(spark, d)), refs)
 
 

@@ -53,10 +53,31 @@ def test_descendants_and_counts(spark, as_rows):
     parent = {"a": None, "b": "a", "c": "b", "d": "a", "x": "y", "y": "x"}
     tree = H.hierarchy(spark.createDataFrame(list(parent.items()), "id string, parent string"))
     assert as_rows(H.descendants(tree)) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)]
-    counts = {r["id"]: r["n_descendants"] for r in H.with_descendant_counts(tree).collect()}
+    counts = {r["id"]: r["n_descendants"] for r in H.hierarchy(tree.select("id", "parent"), counts=True).collect()}
     assert counts == {"a": 3, "b": 1, "c": 0, "d": 0, "x": None, "y": None}
 
 
+@pytest.mark.parametrize("seed,spacing", [(5, 2), (6, 4), (7, 1000)])
+def test_counts_and_cycles_of_random_graphs(spark, seed, spacing):
+    r = random.Random(seed)
+    ids = [f"n{i:03d}" for i in range(150)]
+    parent = {i: r.choice([None, *r.choices(ids, k=6)]) if int(i[1:]) % 5 == 0 else r.choice(ids[max(0, int(i[1:]) - 9) : int(i[1:])] or [None]) for i in ids}
+    want = brute(parent)
+    links = spark.createDataFrame(list(parent.items()), "id string, parent string")
+    beneath = {i: sum(1 for j, w in want.items() if w[0] == "path" and i in w[1] and i != j) if want[i][0] == "path" else None for i in ids}
+    assert {x["id"]: x["n_descendants"] for x in H.hierarchy(links, spacing, counts=True).collect()} == beneath
+    assert {x["id"]: x["cycle_id"] for x in H.cycles(links, spacing).collect()} == {i: w[1] for i, w in want.items() if w[0] == "loop"}
+
+
+def test_many_short_loops_take_few_rounds(spark, monkeypatch):
+    tables = []
+    plain = H.materialize
+    monkeypatch.setattr(H, "materialize", lambda df, name="t": tables.append(name) or plain(df, name))
+    parent = {f"l{i}{s}": f"l{i}{t}" for i in range(400) for s, t in (("a", "b"), ("b", "a"))}
+    assert H.cycles(spark.createDataFrame(list(parent.items()), "id string, parent string"), 1000).count() == 800
+    assert tables.count("bare") + tables.count("loops") < 12
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id string, parent string")
     assert H.hierarchy(empty).count() == 0
