@@ -43,14 +43,17 @@ def decode_entities(text: Column) -> Column:
     # other decimal references, longest first occurrence by occurrence, through the pieces between them
     pieces = F.split(text, r"(?=&#\d{1,7};)")
     code = lambda p: F.regexp_extract(p, r"^&#(\d{1,7});", 1)
-    valid = lambda p: (code(p) != "") & (code(p).try_cast("int") <= 55295) & (code(p).try_cast("int") > 0)
+    valid = lambda p: (code(p) != "") & (code(p).try_cast("int").between(1, 55295) | code(p).try_cast("int").between(57344, 1114111))
     one = lambda p: F.when(valid(p), F.concat(_from_code(code(p).try_cast("int")), F.regexp_replace(p, r"^&#\d{1,7};", ""))).otherwise(p)
     return F.replace(F.array_join(F.transform(pieces, one), ""), F.lit("&amp;"), F.lit("&"))
 
 
 def _from_code(code: Column) -> Column:
-    """The character of a code point below 0xD800, through its two UTF-16 bytes."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    """The character of a code point, through its UTF-16 bytes: two, or those of a pair of surrogates."""
+    unit = lambda c: F.lpad(F.hex(c), 4, "0")
+    above = code - 65536
+    pair = F.concat(unit(F.lit(55296) + F.floor(above / 1024)), unit(F.lit(56320) + above % 1024))
+    return F.decode(F.unhex(F.when(code < 65536, unit(code)).otherwise(pair)), "UTF-16BE")
 
 
 def strip_html(text: Column) -> Column:

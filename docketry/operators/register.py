@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,10 +50,22 @@ def publishable(actors: DataFrame, findings: DataFrame, holds: DataFrame) -> Dat
 
 
 def wall(actors: DataFrame, findings: DataFrame, holds: DataFrame) -> DataFrame:
-    """Register cards: publishable actors with their substantiated findings as a list by date, undated last."""
-    f = actor_matches(gated(findings), actors)
-    dated = F.struct(F.col("finding_date").isNull().alias("undated"), "finding_date", "finding_id", "finding_type")
-    lists = f.groupBy("matched_actor").agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_list(dated)).alias("_f"))
-    shown = publishable(actors, findings, holds)
-    records = F.transform("_f", lambda x: F.struct(x["finding_id"].alias("finding_id"), x["finding_type"].alias("finding_type"), x["finding_date"].alias("finding_date")))
-    return shown.join(lists, F.col("actor_id") == F.col("matched_actor")).withColumn("records", records).drop("matched_actor", "_f")
+    """Register cards: publishable actors with the number of their substantiated findings, most findings first, then by
+    name and id. Actors need a display_name."""
+    n = actor_matches(gated(findings), actors).groupBy(F.col("matched_actor").alias("actor_id")).agg(F.count("*").alias("n_findings"))
+    return publishable(actors, findings, holds).join(n, "actor_id").orderBy(F.desc("n_findings"), "display_name", "actor_id")
+
+
+def wall_records(actors: DataFrame, findings: DataFrame, holds: DataFrame, page_rows: int = 1000) -> DataFrame:
+    """(actor_id, page, records) of the cards: substantiated findings by date, undated last, ties by id, as lists of at most
+    page_rows. records: array of (finding_id, finding_type, finding_date).
+
+    A finding's place is its rank in its month plus the findings of the months before, so no task sorts an actor whole."""
+    f = actor_matches(gated(findings), actors).join(publishable(actors, findings, holds).select(F.col("actor_id").alias("matched_actor")), "matched_actor", "left_semi")
+    f = f.select(F.col("matched_actor").alias("actor_id"), "finding_id", "finding_type", "finding_date", F.coalesce(F.trunc("finding_date", "MM"), F.lit("9999-12-01").cast("date")).alias("month"))
+    months = f.groupBy("actor_id", "month").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("actor_id").orderBy("month")) - F.col("n")
+    local = F.row_number().over(Window.partitionBy("actor_id", "month").orderBy(F.asc_nulls_last("finding_date"), "finding_id")) - 1
+    placed = f.withColumn("local", local).join(months.select("actor_id", "month", before.alias("before")), ["actor_id", "month"]).withColumn("at", F.col("before") + F.col("local"))
+    pages = placed.groupBy("actor_id", F.floor(F.col("at") / page_rows).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("at", "finding_id", "finding_type", "finding_date"))).alias("r"))
+    return pages.select("actor_id", "page", F.transform("r", lambda x: F.struct(x["finding_id"].alias("finding_id"), x["finding_type"].alias("finding_type"), x["finding_date"].alias("finding_date"))).alias("records"))

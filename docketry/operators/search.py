@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.stemmer import STOP_WORDS, stem
+from docketry.session import materialize
 
 K1, B = 1.2, 0.75
 
@@ -53,6 +54,17 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_postings, f"id {kind}, term string, places array<int>, length int")
 
 
+def stored(postings: DataFrame) -> DataFrame:
+    """Postings as a table in the shared folder, in the order of their stems: a search reads the row groups of its own."""
+    return materialize(postings.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
+
+
+def corpus(postings: DataFrame) -> tuple[int, float]:
+    """The number of texts with postings and their mean length in words, as ranks need them."""
+    one = postings.groupBy("id").agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    return one["n"], one["mean"] or 1.0
+
+
 @dataclass(frozen=True)
 class Query:
     """Alternatives of required phrases (lists of stems with their distances), and excluded phrases."""
@@ -90,7 +102,24 @@ def _has(by: dict[str, list[int]], phrase: tuple[str | None, ...]) -> bool:
 def search(spark: SparkSession, postings: DataFrame, query: str, n_docs: int, mean_length: float, limit: int = 20) -> DataFrame:
     """(id, rank) of the best texts that match, 1 to 100 of them; none for a query of stop words only.
 
-    Only postings of the query's stems are read and grouped; a text contributes one row per stem of the query."""
+    n_docs, mean_length: corpus(). Only postings of the query's stems are read and grouped; a text contributes one row per
+    stem of the query."""
+    return _ranked(spark, postings, query, n_docs, mean_length).orderBy(F.desc("rank"), "id").limit(max(1, min(100, limit)))
+
+
+def search_records(spark: SparkSession, postings: DataFrame, records: DataFrame, fields: tuple[str, ...], query: str, n_docs: int, mean_length: float, limit: int = 20) -> DataFrame:
+    """(id, rank, matched_on): texts that match by their stems, and records (id, *fields) one of whose fields holds the whole
+    query as it is typed, case aside, at rank 0. A record that matches both ways is one row, by its text; a blank query
+    matches nothing."""
+    asked = query.strip().lower()
+    by_text = _ranked(spark, postings, query, n_docs, mean_length).withColumn("matched_on", F.lit("text"))
+    on = F.coalesce(*[F.when(F.contains(F.lower(F.col(f)), F.lit(asked)), F.lit(f)) for f in fields])
+    by_field = records.select("id", F.lit(0.0).alias("rank"), on.alias("matched_on")).filter(F.col("matched_on").isNotNull() & F.lit(bool(asked)))
+    best = by_text.unionByName(by_field).groupBy("id").agg(F.max(F.struct("rank", "matched_on")).alias("m"))
+    return best.select("id", "m.rank", "m.matched_on").orderBy(F.desc("rank"), "id").limit(max(1, min(100, limit)))
+
+
+def _ranked(spark: SparkSession, postings: DataFrame, query: str, n_docs: int, mean_length: float) -> DataFrame:
     q = parse(query)
     wanted = sorted({t for g in (*q.alternatives, q.excluded) for p in g for t in p if t})
     scored = sorted({t for g in q.alternatives for p in g for t in p if t})
@@ -113,4 +142,4 @@ def search(spark: SparkSession, postings: DataFrame, query: str, n_docs: int, me
                 keep.append(any(all(_has(by, p) for p in g) for g in q.alternatives) and not any(_has(by, p) for p in q.excluded))
             yield f.loc[keep, ["id", "rank"]]
 
-    return grouped.mapInPandas(matches, f"id {kind}, rank double").orderBy(F.desc("rank"), "id").limit(max(1, min(100, limit)))
+    return grouped.mapInPandas(matches, f"id {kind}, rank double")

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(held: DataFrame, incoming: DataFrame, key: list[str], rules: dict[str, str]) -> DataFrame:
+def upsert(held: DataFrame, incoming: DataFrame, key: list[str], rules: dict[str, str], order: str | None = None) -> DataFrame:
     """held and incoming merged by key.
 
     rules per column: "new" (the incoming value if not null, else the held), "old" (the held value if not null, else the
     incoming), "replace" (the incoming row's value whenever there is one, also null). Columns of neither are dropped.
-    The last of several incoming rows of a key holds, by all columns in order. Null keys never match."""
+    Of several incoming rows of a key the last delivered holds: the one with the largest value in the column order, which
+    incoming has; equal ones, and all without order, by the columns themselves. Only that row counts, not the earlier
+    ones' values. The maximum is combined before the shuffle. Null keys never match."""
     columns = [c for c in held.columns if c in rules]
-    newest = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in columns])
-    fresh = incoming.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select(*key, F.struct(*columns).alias("_new"))
+    ranked = F.struct(*([F.col(order).alias("_order")] if order else []), F.struct(*columns).alias("_row"))
+    fresh = incoming.groupBy(*key).agg(F.max(ranked).alias("_m")).select(*key, F.col("_m._row").alias("_new"))
     both = held.select(*key, F.struct(*columns).alias("_old")).join(fresh, key, "full")
     pick = {
         "new": lambda c: F.coalesce(F.col(f"_new.{c}"), F.col(f"_old.{c}")),

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from docketry.functions import forum, geo, hashing, names, text
 from docketry.operators import cases as C
+from docketry.operators import hierarchy as H
 from docketry.operators import evidence, ledger, pipeline, register, search, simulate, upsert
+from docketry.operators.latest import latest_by
 from docketry.operators.similar import similar_pairs
 from docketry.plans.catalogs import FORUMS, RULES
 from docketry.plans.statistics import _sql_cell
@@ -94,12 +96,12 @@ def wall_entries(spark: SparkSession, d: str) -> DataFrame:
     return register.wall(_actors(spark, d), view(spark, d, "findings", "actor_id", "prosecutor_id", "finding_type", "finding_date", "review_status"), _holds(spark, d)).select("actor_id", "display_name", "n_findings")
 
 
-@query(_PUBLISHABLE + ", r AS (SELECT matched_actor, string_agg(finding_type || '@' || coalesce(finding_date::VARCHAR, 'undated'), ';' ORDER BY finding_date NULLS LAST, finding_id) AS records FROM m WHERE review_status = 'substantiated' GROUP BY 1) SELECT actor_id, records FROM p JOIN r ON r.matched_actor = p.actor_id")
+@query(_PUBLISHABLE + ", n AS (SELECT *, (row_number() OVER (PARTITION BY matched_actor ORDER BY finding_date NULLS LAST, finding_id) - 1) // 1000 AS page FROM m WHERE review_status = 'substantiated'), r AS (SELECT matched_actor, page, string_agg(finding_type || '@' || coalesce(finding_date::VARCHAR, 'undated'), ';' ORDER BY finding_date NULLS LAST, finding_id) AS records FROM n GROUP BY ALL) SELECT p.actor_id, page::INTEGER AS page, records FROM p JOIN r ON r.matched_actor = p.actor_id")
 def wall_records_json(spark: SparkSession, d: str) -> DataFrame:
-    """The ordered records of every card, as one text."""
-    w = register.wall(_actors(spark, d), _findings(spark, d), _holds(spark, d))
+    """The ordered records of every card, as texts of at most 1,000 records."""
+    w = register.wall_records(_actors(spark, d), _findings(spark, d), _holds(spark, d))
     line = lambda x: F.concat(x["finding_type"], F.lit("@"), F.coalesce(x["finding_date"].cast("string"), F.lit("undated")))
-    return w.select("actor_id", F.array_join(F.transform("records", line), ";").alias("records"))
+    return w.select("actor_id", "page", F.array_join(F.transform("records", line), ";").alias("records"))
 
 
 @query(
@@ -257,10 +259,16 @@ def flags_recent_topn(spark: SparkSession, d: str) -> DataFrame:
     return f.orderBy(F.desc_nulls_first("created_at"), "finding_id").limit(200).select("finding_id", "office", "review_status")
 
 
-@query(sql("cases") + "SELECT case_id FROM cases WHERE regexp_matches(lower(concat_ws(' ', docket_number, raw_data)), 'sealed|juvenile|expunged') OR coalesce(json_extract_string(CASE WHEN json_valid(raw_data) THEN raw_data END, '$.blocked') = 'true', false)")
+@query(
+    sql("cases")
+    + "SELECT 'case' AS kind, case_id AS id FROM cases WHERE regexp_matches(lower(concat_ws(' ', docket_number, raw_data)), 'sealed|juvenile|expunged') OR coalesce(json_extract_string(CASE WHEN json_valid(raw_data) THEN raw_data END, '$.blocked') = 'true', false) "
+    + "UNION ALL SELECT 'document', doc_id::VARCHAR FROM documents WHERE regexp_matches(lower(concat_ws(' ', docket_number, text)), 'sealed|juvenile|expunged')"
+)
 def exclusion_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Cases that must not be shown."""
-    return view(spark, d, "cases", "docket_number", "raw_data").filter(text.is_excluded(F.col("docket_number"), F.col("raw_data"))).select("case_id")
+    """Cases and documents that must not be shown."""
+    cases = view(spark, d, "cases", "docket_number", "raw_data").filter(text.is_excluded(F.col("docket_number"), F.col("raw_data"))).select(F.lit("case").alias("kind"), F.col("case_id").alias("id"))
+    docs = table(spark, d, "documents").filter(text.is_excluded(F.col("docket_number"), F.col("text"))).select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"))
+    return cases.unionByName(docs)
 
 
 # -- texts ----------------------------------------------------------------------------------------------------------
@@ -306,10 +314,11 @@ def strip_html_entries(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "entries", "summary").select("entry_id", text.summary_text(F.col("summary")).alias("plain"))
 
 
-@query()
+@query("SELECT doc_id, regexp_extract(docket_number, '^[A-Za-z0-9:./-]*') AS docket FROM documents WHERE text IS NOT NULL AND length(regexp_extract(docket_number, '^[A-Za-z0-9:./-]*')) >= 4 AND regexp_matches(regexp_extract(docket_number, '^[A-Za-z0-9:./-]*'), '[0-9]')")
 def docket_from_text(spark: SparkSession, d: str) -> DataFrame:
-    """The docket number printed in an opinion."""
-    return view(spark, d, "opinions", "full_text").select("opinion_id", text.docket_from_text(F.col("full_text")).alias("docket")).filter("docket is not null")
+    """The docket number printed in a text: documents, under a caption that prints theirs, as the tables' texts print none."""
+    printed = F.concat(F.lit("In the matter of Case No. "), F.col("docket_number"), F.lit(". "), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", text.docket_from_text(printed).alias("docket")).filter("docket is not null")
 
 
 @query(sql("entries") + "SELECT entry_id, left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48) AS slug, CASE WHEN starts_with(link, 'http') THEN link ELSE 'https://records.example' || link END AS url FROM entries")
@@ -319,12 +328,12 @@ def slug(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entry_id", text.slug(F.col("title")).alias("slug"), text.absolute_url(F.col("link"), "https://records.example").alias("url"))
 
 
-@query(sql("opinions") + "SELECT case_id, md5(string_agg(full_text, chr(10) ORDER BY opinion_id)) AS text_md5 FROM opinions WHERE case_id IS NOT NULL GROUP BY 1")
+@query(sql("opinions") + "SELECT case_id, md5(string_agg(md5(full_text), chr(10) ORDER BY opinion_id)) AS text_md5 FROM opinions WHERE case_id IS NOT NULL GROUP BY 1")
 def case_text_listagg(spark: SparkSession, d: str) -> DataFrame:
-    """All opinion texts of a case in order, hashed."""
+    """A hash of the opinion texts of a case in order: of the texts' own hashes, so that no task gathers texts."""
     o = view(spark, d, "opinions", "case_id", "full_text").filter("case_id is not null")
-    parts = F.array_sort(F.collect_list(F.when(F.col("full_text").isNotNull(), F.struct("opinion_id", "full_text"))))
-    return o.groupBy("case_id").agg(parts.alias("p")).select("case_id", F.when(F.size("p") > 0, F.md5(F.array_join(F.transform("p", lambda x: x["full_text"]), "\n").cast("binary"))).alias("text_md5"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("full_text").isNotNull(), F.struct("opinion_id", F.md5(F.col("full_text").cast("binary")).alias("h")))))
+    return o.groupBy("case_id").agg(parts.alias("p")).select("case_id", F.when(F.size("p") > 0, F.md5(F.array_join(F.transform("p", lambda x: x["h"]), "\n").cast("binary"))).alias("text_md5"))
 
 
 @query(sql("opinions") + "SELECT min(opinion_id) AS opinion_id, case_id, md5(full_text) AS text_md5, count(*) AS n FROM opinions GROUP BY case_id, md5(full_text)")
@@ -355,9 +364,16 @@ def case_upsert(spark: SparkSession, d: str) -> DataFrame:
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The 20 opinions that match a web query best."""
     o = view(spark, d, "opinions", "full_text")
-    postings = search.index(o, "opinion_id", "full_text")
-    n, mean = o.agg(F.count("*"), F.avg(F.size(F.split("full_text", r"\s+")))).first()
-    return search.search(spark, postings, '"chain of custody" prosecutor -jury OR suppress', n, mean or 1.0)
+    postings = search.stored(search.index(o, "opinion_id", "full_text"))
+    return search.search(spark, postings, '"chain of custody" prosecutor -jury OR suppress', *search.corpus(postings))
+
+
+@query()
+def search_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 opinions that match a query by text, citation or reference, and by which."""
+    o = view(spark, d, "opinions", "full_text", "citation", "source_ref")
+    postings = search.stored(search.index(o, "opinion_id", "full_text"))
+    return search.search_records(spark, postings, o.select(F.col("opinion_id").alias("id"), "citation", "source_ref"), ("citation", "source_ref"), "2021", *search.corpus(postings))
 
 
 # -- names and forums -----------------------------------------------------------------------------------------------
@@ -393,7 +409,11 @@ def parse_officials_explode(spark: SparkSession, d: str) -> DataFrame:
     return judges.select("p.kind", F.explode_outer("p.names").alias("name"), "n").groupBy("kind", "name").agg(F.sum("n").alias("n"))
 
 
-@query()
+@query(
+    sql("actors")
+    + f", k AS (SELECT actor_id, prosecutor_id, concat_ws('|', coalesce(role, ''), coalesce(trim({_SQL_NAME.format('display_name')}), ''), lower(trim(coalesce(jurisdiction, ''))), lower(trim(coalesce(bar_number, ''))), lower(trim(coalesce(badge_number, '')))) AS fp FROM actors) "
+    + "SELECT actor_id, first_value(actor_id) OVER (PARTITION BY fp ORDER BY prosecutor_id IS NULL, actor_id) AS survivor_id FROM k"
+)
 def renormalize_merge(spark: SparkSession, d: str) -> DataFrame:
     """The survivor of every group of actors whose recomputed keys collide: those with a prosecutor first, then by id."""
     a = view(spark, d, "actors", "role", "display_name", "jurisdiction", "bar_number", "badge_number", "prosecutor_id")
@@ -402,28 +422,42 @@ def renormalize_merge(spark: SparkSession, d: str) -> DataFrame:
     return keyed.join(survivor, "fingerprint").select("actor_id", "survivor_id")
 
 
+def _courts(spark: SparkSession, d: str) -> DataFrame:
+    """The latest row of every court, of equally late ones the largest."""
+    kept = {c: F.col(c) for c in ("source_class", "full_name", "citation_string")}
+    return latest_by(table(spark, d, "court_registry"), H.node_id(F.col("court_id")), [F.col("refreshed_at")], kept).withColumnRenamed("_key", "court_id")
+
+
+def _placements(spark: SparkSession, d: str) -> DataFrame:
+    """(court_id, jurisdiction, level, method) of every court."""
+    return _courts(spark, d).select("court_id", forum.derive(F.col("court_id"), F.col("source_class"), F.col("full_name"), F.col("citation_string"), FORUMS).alias("f")).select("court_id", "f.*")
+
+
+_SQL_COURTS = "WITH r AS (SELECT * FROM (SELECT lower(trim(court_id)) AS court_id, upper(trim(coalesce(source_class, ''))) AS cls, full_name, citation_string, row_number() OVER (PARTITION BY lower(trim(court_id)) ORDER BY refreshed_at DESC NULLS LAST, source_class DESC NULLS LAST, full_name DESC NULLS LAST, citation_string DESC NULLS LAST) AS rn FROM court_registry WHERE trim(court_id) <> '') WHERE rn = 1), "
 _SQL_FORUM = "CASE " + " ".join(f"WHEN regexp_matches(' ' || coalesce({{0}}, '') || ' ', '(?i)[^A-Za-z0-9]{n}[^A-Za-z0-9]') THEN '{c}'" for c, n in sorted(FORUMS, key=lambda f: -len(f[1]))) + " END"
 
 
 @query(
-    "WITH r AS (SELECT DISTINCT lower(trim(court_id)) AS court_id, upper(trim(coalesce(source_class, ''))) AS cls, full_name, citation_string FROM court_registry), "
+    _SQL_COURTS
     + f"x AS (SELECT *, {_SQL_FORUM.format('full_name')} AS by_name, {_SQL_FORUM.format('citation_string')} AS by_cite FROM r) "
     + "SELECT DISTINCT court_id, CASE WHEN cls = 'F' THEN 'US' WHEN cls = 'FD' THEN coalesce(by_name, 'US') ELSE coalesce(by_name, by_cite) END AS forum, CASE WHEN cls = 'F' THEN 'federal_circuit' WHEN cls = 'FD' AND by_name IS NOT NULL THEN 'federal_district_name' WHEN cls = 'FD' THEN 'federal_other' WHEN by_name IS NOT NULL THEN 'state_name' WHEN by_cite IS NOT NULL THEN 'state_citation' ELSE 'unmapped' END AS method FROM x"
 )
 def forum_derive(spark: SparkSession, d: str) -> DataFrame:
     """Where registered courts sit, and by which rule."""
-    r = table(spark, d, "court_registry").select(F.lower(F.trim("court_id")).alias("court_id"), "source_class", "full_name", "citation_string").distinct()
-    return r.select("court_id", forum.derive(F.col("court_id"), F.col("source_class"), F.col("full_name"), F.col("citation_string"), FORUMS).alias("f")).select("court_id", F.col("f.jurisdiction").alias("forum"), "f.method").distinct()
+    return _placements(spark, d).select("court_id", F.col("jurisdiction").alias("forum"), "method")
 
 
-@query()
+@query(
+    _SQL_COURTS.replace("WITH r", sql("cases").rstrip() + ", r").rstrip()
+    + f" x AS (SELECT *, {_SQL_FORUM.format('full_name')} AS by_name, {_SQL_FORUM.format('citation_string')} AS by_cite FROM r), "
+    + "f AS (SELECT court_id, CASE WHEN cls = 'F' THEN 'US' WHEN cls = 'FD' THEN coalesce(by_name, 'US') ELSE coalesce(by_name, by_cite) END AS forum, CASE WHEN cls = 'F' THEN 'federal_circuit' WHEN cls = 'FD' AND by_name IS NOT NULL THEN 'federal_district_name' WHEN cls = 'FD' THEN 'federal_other' WHEN by_name IS NOT NULL THEN 'state_name' WHEN by_cite IS NOT NULL THEN 'state_citation' ELSE 'unmapped' END AS method FROM x), "
+    + f"p AS (SELECT f.forum, f.method, CASE WHEN upper(trim(c.jurisdiction)) IN ({', '.join(repr(c) for c, _ in FORUMS)}) THEN upper(trim(c.jurisdiction)) END AS claimed FROM cases c LEFT JOIN f ON f.court_id = lower(trim(c.source_court_id))) "
+    + "SELECT coalesce(forum, claimed, 'unknown') AS forum, CASE WHEN forum IS NOT NULL THEN method WHEN claimed IS NOT NULL THEN 'claimed' ELSE 'unknown' END AS forum_method, count(*) AS n FROM p GROUP BY ALL"
+)
 def court_placement(spark: SparkSession, d: str) -> DataFrame:
     """Cases by the forum their court is placed in: registry, claim, or unknown."""
-    r = table(spark, d, "court_registry")
-    one = r.groupBy(F.lower(F.trim("court_id")).alias("court_id")).agg(F.max_by(F.struct("source_class", "full_name", "citation_string"), "refreshed_at").alias("r"))
-    placed = one.select("court_id", forum.derive(F.col("court_id"), F.col("r.source_class"), F.col("r.full_name"), F.col("r.citation_string"), FORUMS).alias("f")).select("court_id", "f.*")
     cases = view(spark, d, "cases", "source_court_id", "jurisdiction", "court_level")
-    return C.placed(cases, placed, tuple(c for c, _ in FORUMS)).groupBy("forum", "forum_method").agg(F.count("*").alias("n"))
+    return C.placed(cases, _placements(spark, d), tuple(c for c, _ in FORUMS)).groupBy("forum", "forum_method").agg(F.count("*").alias("n"))
 
 
 # -- the run of a case ----------------------------------------------------------------------------------------------
@@ -456,8 +490,7 @@ def public_record_actors(spark: SparkSession, d: str) -> DataFrame:
 def pipeline_runs(spark: SparkSession, d: str) -> DataFrame:
     """All six stages over all cases: the number of cases by status and by what was found."""
     c = view(spark, d, "cases", *CONTEXT, "source_court_id")
-    r = table(spark, d, "court_registry").groupBy(F.lower(F.trim("court_id")).alias("court_id")).agg(F.max_by(F.struct("source_class", "full_name", "citation_string"), "refreshed_at").alias("r"))
-    courts = r.select("court_id", forum.derive(F.col("court_id"), F.col("r.source_class"), F.col("r.full_name"), F.col("r.citation_string"), FORUMS).alias("f")).select("court_id", "f.*")
+    courts = _placements(spark, d)
     none = spark.createDataFrame([], "actor_id string, prosecutor_id string, label string, review_status string")
     scores = register.scores(_actors(spark, d).select("actor_id", "prosecutor_id"), _findings(spark, d), none, AS_OF)
     opinions = view(spark, d, "opinions", "case_id", "full_text").filter("case_id is not null")
@@ -498,7 +531,12 @@ def hex_ladder(spark: SparkSession, d: str) -> DataFrame:
     return c.select("case_id", F.explode(geo.ladder(F.col("court_location_lat"), F.col("court_location_lng"))).alias("l")).select("case_id", "l.res", "l.cell")
 
 
-@query()
+@query(
+    sql("cases")
+    + f", pts AS (SELECT outcome, court_location_lat AS lat, court_location_lng AS lng FROM cases), c AS (SELECT {_sql_cell(2)} AS cell, outcome FROM pts), b AS (SELECT cell, count(*) AS n, count(*) FILTER (WHERE outcome = 'conviction') AS k FROM c WHERE cell IS NOT NULL GROUP BY cell), "
+    + "s(dq, dr) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)), x AS (SELECT b.cell, 'hx2_' || (split_part(b.cell, '_', 2)::BIGINT + dq) || '_' || (split_part(b.cell, '_', 3)::BIGINT + dr) AS near FROM b, s) "
+    + "SELECT x.cell, sum(n)::BIGINT AS n_cases, sum(k)::BIGINT AS n_convictions, count(*) AS n_cells, round(sum(k) / nullif(sum(n), 0), 6) AS rate FROM x LEFT JOIN b ON b.cell = x.near GROUP BY x.cell"
+)
 def hex_kring(spark: SparkSession, d: str) -> DataFrame:
     """Cases and convictions of every cell together with its neighbours."""
     c = view(spark, d, "cases", "court_location_lat", "court_location_lng", "outcome")

@@ -16,7 +16,7 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 #: Fewest cases of a cell that is shown, and the ratio above which a penalty is severe.
-LEAST_CASES, SEVERE = 5, 2.0
+LEAST_CASES, SEVERE = 3, 2.0
 #: Resolution of the map, coarse enough that cells hold several cases.
 CELL_RES = 2
 _WINDOW = "plea_offered AND NOT plea_accepted AND outcome = 'conviction' AND plea_offer_months > 0 AND sentence_months > 0"

@@ -74,6 +74,51 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Files:
+    """Small texts and folder names through Hadoop, in whatever file system a path names."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        where = self._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self._conf)
+
+    def read(self, path: str) -> str | None:
+        """The text of a file, None if there is none."""
+        where, fs = self._at(path)
+        if not fs.exists(where):
+            return None
+        stream = fs.open(where)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Replaces a file as a whole: written beside it, then renamed over it."""
+        where, fs = self._at(path)
+        beside = self._jvm.org.apache.hadoop.fs.Path(path + ".next")
+        stream = fs.create(beside, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), self._conf)
+        overwrite = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self._jvm.java.lang.reflect.Array.newInstance(overwrite.getClass(), 1)
+        options[0] = overwrite
+        context.rename(context.makeQualified(beside), context.makeQualified(where), options)
+
+    def names(self, path: str) -> list[str]:
+        where, fs = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def remove(self, path: str) -> None:
+        where, fs = self._at(path)
+        fs.delete(where, True)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, is compressed and columnar,
     and stays readable when executors are lost. The table is removed when the process ends."""

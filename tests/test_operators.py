@@ -95,7 +95,7 @@ def test_scores_register_and_gates(spark, as_rows):
     holds = spark.createDataFrame([("q", False), ("p", True)], "actor_id string, approved boolean")
     assert as_rows(register.publishable(actors, f, holds).select("actor_id")) == [("p",)]
     assert as_rows(register.publishable(actors, f, holds.limit(0)).select("actor_id")) == [("p",), ("q",)]
-    assert register.wall(actors, f, holds).first()["records"][0]["finding_id"] == "f1"
+    assert register.wall(actors, f, holds).first()["n_findings"] > 0 and register.wall_records(actors, f, holds).first()["records"][0]["finding_id"] == "f1"
 
 
 def test_simulation(spark):
@@ -191,3 +191,42 @@ def test_screen_reads_all_opinions_and_resolves_clauses(spark):
     none = spark.createDataFrame([], "case_id string, actor_id string, role_in_case string")
     runs = pipeline.run_cases(contexts, placed, opinions, spark.createDataFrame([], "case_id string, item_type string, description string"), none, spark.createDataFrame([], "actor_id string, score double"), RULES)
     assert {r["case_id"]: r["screen_hits"] for r in runs.collect()} == {"c0": 5, "c1": 2, "c2": 2, "c3": 3, "lost": 0}
+
+
+def test_the_last_delivered_row_wins(spark, as_rows):
+    held = spark.createDataFrame([("a", "z", "z")], "k string, new string, rep string")
+    incoming = spark.createDataFrame([("a", "m", None, 1), ("a", None, "b", 3), ("a", "x", "y", 2), ("b", "q", "q", 1), ("b", "q", "q", 1)], "k string, new string, rep string, n int")
+    rules = {"new": "new", "rep": "replace"}
+    assert as_rows(upsert.upsert(held, incoming, ["k"], rules, "n")) == [("a", "z", "b"), ("b", "q", "q")]
+    assert as_rows(upsert.upsert(held, incoming.drop("n"), ["k"], rules)) == [("a", "x", "y"), ("b", "q", "q")]
+
+
+def test_lengths_of_a_search_are_those_of_its_postings(spark):
+    docs = spark.createDataFrame([(1, "one-two three, four's"), (2, "one"), (3, None), (4, "")], "id int, text string")
+    postings = search.stored(search.index(docs, "id", "text"))
+    assert search.corpus(postings) == (2, 3.0)  # five words and one; null and empty texts are no texts
+
+
+def test_search_by_fields(spark):
+    docs = spark.createDataFrame([(1, "the court granted it", "24-100"), (2, "nothing", "X 24-1009"), (3, "granted 24-100", None), (4, None, "24-100")], "id int, text string, docket string")
+    postings = search.index(docs, "id", "text")
+    find = lambda q: {(r["id"], r["matched_on"]) for r in search.search_records(spark, postings, docs.select("id", "docket"), ("docket",), q, 3, 3.0).collect()}
+    assert find("24-100") == {(1, "docket"), (2, "docket"), (3, "text"), (4, "docket")} and find("granted") == {(1, "text"), (3, "text")} and find(" ") == set()
+
+
+def test_records_of_a_card_are_cut_into_pages(spark):
+    import datetime as dt
+
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=(i * 17) % 100) if i % 7 else None for i in range(60)]
+    f = spark.createDataFrame([(f"f{i:02d}", "a", None, "brady", day, "substantiated") for i, day in enumerate(days)] + [("x", "a", None, "brady", None, "pending")], "finding_id string, actor_id string, prosecutor_id string, finding_type string, finding_date date, review_status string")
+    actors, holds = spark.createDataFrame([("a", None, "N"), ("b", None, "M")], "actor_id string, prosecutor_id string, display_name string"), spark.createDataFrame([], "actor_id string, approved boolean")
+    pages = {r["page"]: [x["finding_id"] for x in r["records"]] for r in register.wall_records(actors, f, holds, 25).collect()}
+    want = [f"f{i:02d}" for i in sorted(range(60), key=lambda i: (days[i] is None, days[i] or days[1], i))]
+    assert [len(pages[k]) for k in sorted(pages)] == [25, 25, 10] and sum((pages[k] for k in sorted(pages)), []) == want
+
+
+def test_every_code_point_is_decoded(spark):
+    from docketry.functions.text import decode_entities
+
+    df = spark.createDataFrame([("&#128512;|&#65279;|&#55296;|&#1114112;|&#65;&amp;lt;",)], "t string")
+    assert df.select(decode_entities(F.col("t")).alias("d")).first()["d"] == "\U0001f600|\ufeff|&#55296;|&#1114112;|A&lt;"

@@ -86,9 +86,33 @@ def test_stream_into_a_table_equals_the_batch(spark, tmp_path, as_rows):
     assert as_rows(tables.read("courts", schema)) == [("a", "3"), ("b", "2"), ("c", None)]
     state = tables.read("state", ingest.STATE).first()
     assert state["rows_new"] == 3 and state["failures"] == 0 and state["rows_seen"] >= 4
+    assert tables.files.names(str(tmp_path / "tables" / tables._versions("courts")[max(tables._versions("courts"))]))
+    again = ingest.merge_batch(tables, "courts", "courts", schema, ["id"], rules, lambda df: df)
+    again(spark.createDataFrame([("c", None)], schema), 0)  # delivered again: merged, not counted
+    assert tables.read("state", ingest.STATE).first() == state and tables.read("courts", schema).count() == 3
+    assert as_rows(ingest.feed_totals(tables.read("state", ingest.STATE))) == [(1, 0, state["rows_seen"], 3)]
+    assert as_rows(ingest.feed_states(tables.read("state", ingest.STATE), ["courts"], {"courts": "page:3"})) == [("courts", "mid-list")]
     assert as_rows(ingest.feed_states(tables.read("state", ingest.STATE), ["courts", "new"])) == [("courts", "healthy"), ("new", "waiting")]
 
 
+def test_a_merge_rewrites_the_parts_it_touches(spark, tmp_path, as_rows):
+    tables = ingest.TableFolder(spark, str(tmp_path / "t"))
+    schema = "id string, v string, n int"
+    merge = ingest.merge_batch(tables, "s", "rows", schema, ["id"], {"v": "new", "n": "replace"}, lambda df: df, order="n")
+    merge(spark.createDataFrame([(f"k{i}", "a", 1) for i in range(200)], schema), 0)
+    before = tables._versions("rows")
+    merge(spark.createDataFrame([("k7", "early", 2), ("k7", "late", 3), ("new", "b", 1)], schema), 1)
+    after = tables._versions("rows")
+    assert 1 <= sum(before.get(k) != v for k, v in after.items()) <= 2 and len(before) > 30
+    got = {r["id"]: r["v"] for r in tables.read("rows", schema).collect()}
+    assert len(got) == 201 and got["k7"] == "late" and got["k8"] == "a"
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.merge_batch(tables, "s", "rows", schema, ["id"], {"v": "new"}, lambda df: df.select("missing"))(spark.createDataFrame([("z", "z", 1)], schema), 2)
+    state = tables.read("state", ingest.STATE).first()
+    assert (state["batches"], state["rows_seen"], state["rows_new"], state["failures"], state["last_batch"]) == (2, 203, 201, 1, 1) and state["last_error"]
+    assert ingest.feed_list("CA9, nysd ca9  nysd,scotus") == ["ca9", "nysd", "scotus"]
+
+
 def test_a_failing_feed_does_not_stop_others():
     ran = []
 
