@@ -6,7 +6,7 @@ import json
 import struct
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,19 @@ def canonical_json(**fields: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def hash_key(text: Column) -> Column:
+    """The first 16 hexadecimal digits of the hash of a text written as JSON."""
+    return F.substring(payload_hash(F.substring(F.to_json(F.struct(text.alias("v"))), F.lit(6), F.length(F.to_json(F.struct(text.alias("v")))) - 6)), 1, 16)
+
+
+def corpus_hash(rows: DataFrame, order: Column, id_: Column, body: Column) -> DataFrame:
+    """(corpus_hash, n): one hash over all rows in order, each as id, a zero character, body and a line feed. One value is
+    made of all rows: for catalogs, which are small."""
+    line = F.concat(id_, F.lit("\x00"), body, F.lit("\n"))
+    held = rows.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("t")))).alias("x"))
+    return held.select(payload_hash(F.array_join(F.transform("x", lambda r: r["t"]), "")).alias("corpus_hash"), F.size("x").cast("bigint").alias("n"))
+
+
 def payload_hash(payload: Column) -> Column:
     return F.sha2(payload.cast("binary"), 256)
 

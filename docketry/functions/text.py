@@ -107,6 +107,11 @@ def first_date(text: Column) -> Column:
     return F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
 
 
+def utc_midnight(day: Column) -> Column:
+    """A date as the instant at which it begins in UTC, as a timestamp_ntz in UTC whatever the session's zone."""
+    return day.cast("date").cast("timestamp_ntz")
+
+
 def contains_word(text: Column, word: Column) -> Column:
     """Whether word occurs in text with no ASCII letter or digit beside it, case aside; false for an empty word."""
     quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.lower(word), F.lit(r"\E(?![A-Za-z0-9])"))

@@ -36,6 +36,15 @@ def resolve(asked: DataFrame, clauses: DataFrame, forums: DataFrame, holdings: D
     return q.select("clause_id", "code", "court_level", actor.alias("state_actor"), "binding", "circuit_holding", split.alias("split"), side.alias("forum_side"), status.alias("status"))
 
 
+def checked(asked: DataFrame, clauses: DataFrame, forums: DataFrame) -> DataFrame:
+    """asked, if every clause and forum in it is known; else an error that names up to five that are not."""
+    bad = asked.select(F.col("clause_id").alias("x")).join(clauses.select(F.col("clause_id").alias("x")), "x", "left_anti")
+    bad = bad.unionByName(asked.select(F.col("code").alias("x")).join(forums.select(F.col("code").alias("x")), "x", "left_anti")).distinct()
+    if names := sorted(str(r["x"]) for r in bad.limit(5).collect()):
+        raise ValueError(f"unknown clauses or forums: {', '.join(names)}")
+    return asked
+
+
 def broken_references(holdings: DataFrame, clauses: DataFrame, splits: DataFrame) -> DataFrame:
     """(kind, id, refers_to) of catalog rows that refer to clauses or holdings that are not there."""
     of_clause = holdings.select(F.lit("holding_clause").alias("kind"), F.col("holding_id").alias("id"), F.explode("clause_ids").alias("refers_to")).join(clauses.select(F.col("clause_id").alias("refers_to")), "refers_to", "left_anti")

@@ -14,6 +14,7 @@ from docketry.functions import names
 from docketry.functions.text import mentions_nondisclosure, mentions_search
 from docketry.operators import authority, evidence
 from docketry.operators.similar import similar_pairs
+from docketry.operators.upsert import inserted
 from docketry.rules.compile import flags
 
 #: Similarity of normal forms from which a name is taken for a registered one.
@@ -81,6 +82,18 @@ def actor_links(cases: DataFrame, actors: DataFrame) -> tuple[DataFrame, DataFra
     return prosecutors.unionByName(judges).distinct(), queue
 
 
+def new_unresolved(known: DataFrame, queue: DataFrame) -> DataFrame:
+    """Fields of actor_links()'s queue that do not wait yet, one per case and field; known: (case_id, raw)."""
+    return inserted(known, queue, ["case_id", "raw"])
+
+
+def with_actors(flags_: DataFrame, links: DataFrame) -> DataFrame:
+    """Flags (case_id, actor_id, ...) with an actor where they had none: the case's prosecutor, else its judge, the smallest
+    id of several; an actor that is there stays."""
+    first = links.groupBy("case_id").agg(F.min(F.struct(F.col("role_in_case") != "prosecutor", "actor_id"))["actor_id"].alias("_a"))
+    return flags_.join(first, "case_id", "left").withColumn("actor_id", F.coalesce("actor_id", "_a")).drop("_a")
+
+
 def public_actors(prosecutors: DataFrame, cases: DataFrame) -> DataFrame:
     """Officials that public records name: prosecutors, and judges of cases, one per fingerprint."""
     people, _ = named_judges(cases)

@@ -16,7 +16,7 @@ from docketry.plans.catalogs import FORUMS, RULES
 from docketry.plans.statistics import _sql_cell
 from docketry.plans.views import AS_OF, sql, view
 from docketry.rules.compile import flags, new_flags
-from docketry.session import table
+from docketry.session import materialize, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -169,11 +169,12 @@ def latest_per_case(spark: SparkSession, d: str) -> DataFrame:
     return evidence.first_wins(f, [F.col("case_id")], [F.desc_nulls_last("finding_date"), F.col("finding_id")]).select("case_id", "finding_id", "finding_type")
 
 
-@query(sql("cases", "findings") + "SELECT c.case_id, coalesce(n, 0) AS n_findings FROM cases c LEFT JOIN (SELECT case_id, count(*) AS n FROM findings GROUP BY 1) f USING (case_id)")
+@query(sql("cases", "findings", "opinions") + "SELECT c.case_id, coalesce(f.n, 0) AS n_findings, coalesce(o.n, 0) AS n_opinions, coalesce(o.p, 0) AS n_partial FROM cases c LEFT JOIN (SELECT case_id, count(*) AS n FROM findings GROUP BY 1) f USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE text_completeness <> 'full') AS p FROM opinions GROUP BY 1) o USING (case_id)")
 def correlated_counts(spark: SparkSession, d: str) -> DataFrame:
-    """A count per case: aggregate first, then join."""
+    """Three counts per case: aggregate first, then join."""
     n = view(spark, d, "findings", "case_id").filter("case_id is not null").groupBy("case_id").agg(F.count("*").alias("n_findings"))
-    return view(spark, d, "cases").join(n, "case_id", "left").na.fill(0, ["n_findings"])
+    o = view(spark, d, "opinions", "case_id", "text_completeness").filter("case_id is not null").groupBy("case_id").agg(F.count("*").alias("n_opinions"), F.count_if(F.col("text_completeness") != "full").alias("n_partial"))
+    return view(spark, d, "cases").join(n, "case_id", "left").join(o, "case_id", "left").na.fill(0)
 
 
 @query(
@@ -490,11 +491,14 @@ def public_record_actors(spark: SparkSession, d: str) -> DataFrame:
 def pipeline_runs(spark: SparkSession, d: str) -> DataFrame:
     """All six stages over all cases: the number of cases by status and by what was found."""
     c = view(spark, d, "cases", *CONTEXT, "source_court_id")
+    # what several stages read is a table, so that no plan holds it twice
+    contexts, links = materialize(_context(spark, d), "contexts"), materialize(_links(spark, d)[0], "links")
     courts = _placements(spark, d)
     none = spark.createDataFrame([], "actor_id string, prosecutor_id string, label string, review_status string")
     scores = register.scores(_actors(spark, d).select("actor_id", "prosecutor_id"), _findings(spark, d), none, AS_OF)
     opinions = view(spark, d, "opinions", "case_id", "full_text").filter("case_id is not null")
-    runs = pipeline.run_cases(_context(spark, d), C.placed(c, courts, tuple(x for x, _ in FORUMS)), opinions, view(spark, d, "disclosed", "case_id", "item_type", "description"), _links(spark, d)[0], scores, RULES)
+    placed = materialize(C.placed(c, courts, tuple(x for x, _ in FORUMS)).select("case_id", "forum", "forum_level"), "placed")
+    runs = pipeline.run_cases(contexts, placed, opinions, view(spark, d, "disclosed", "case_id", "item_type", "description"), links, scores, RULES)
     return runs.groupBy("status").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in ("screen_hits", "n_leads", "n_gaps", "n_flags", "n_links")])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from docketry.operators.cases import penalty_ratio, penalty_window
 from docketry.operators.register import gated
 from docketry.plans.catalogs import TACTICS
 from docketry.plans.views import AS_OF, sql, view
+from docketry.session import table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +36,10 @@ def query(oracle: str | None = None):
     return add
 
 
+#: Views and plain tables that are counted.
+_COUNTED, _PLAIN = ("cases", "findings", "opinions", "disclosed", "entries", "prosecutors", "actors"), ("court_registry", "documents", "labels", "events")
+
+
 def _round(c, n: int = 6):
     return F.round(c, n)
 
@@ -282,13 +289,12 @@ def aggravators_bool_or(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    sql("cases", "findings", "opinions")
-    + "SELECT 'court_cases' AS table_name, count(*) AS n FROM cases UNION ALL SELECT 'constitutional_findings', count(*) FROM findings UNION ALL SELECT 'court_opinions', count(*) FROM opinions"
+    sql(*_COUNTED) + " UNION ALL ".join([f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in _COUNTED] + [f"SELECT '{n}', count(*) FROM {n}" for n in _PLAIN])
 )
 def engine_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the main tables in one plan."""
-    one = lambda v, n: view(spark, d, v).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n")
-    return one("cases", "court_cases").unionByName(one("findings", "constitutional_findings")).unionByName(one("opinions", "court_opinions"))
+    """Rows of every view and table in one plan."""
+    one = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n")
+    return reduce(DataFrame.unionByName, [*[one(view(spark, d, n), n) for n in _COUNTED], *[one(table(spark, d, n), n) for n in _PLAIN]])
 
 
 @query(sql("findings") + "SELECT office, finding_type, count(*) AS n, grouping_id(office, finding_type)::BIGINT AS level FROM findings WHERE review_status = 'substantiated' GROUP BY ROLLUP (office, finding_type)")

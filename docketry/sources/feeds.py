@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,26 @@ def search_hits(spark: SparkSession, path: str, base: str) -> tuple[DataFrame, D
     return cases, opinions
 
 
+def hit_rows(spark: SparkSession, path: str, base: str, limit: int = 50) -> DataFrame:
+    """(docket_number, caption, court_id, filed, url, snippet, chars) of search pages as a result list of 1 to 50 rows, best
+    first. Hits with an excluding word are left out; whether one is blocked is not looked at here."""
+    r = spark.read.schema(SEARCH_SCHEMA).json(path, multiLine=True).select(F.explode("results").alias("r")).withColumn("raw", F.to_json(F.col("r").dropFields("blocked")))
+    docket = F.coalesce(_filled(F.col("r.docketNumber")), F.concat(F.lit("cl-docket:"), F.col("r.docket_id").cast("string")))
+    r = r.withColumn("docket_number", docket).filter(~text.is_excluded(F.col("docket_number"), F.col("raw")))
+    snippet = _filled(F.try_element_at("r.opinions", F.lit(1))["snippet"])
+    out = r.select("docket_number", F.coalesce(_filled(F.col("r.caseName")), F.col("docket_number")).alias("caption"), _filled(F.col("r.court_id")).alias("court_id"), text.first_date(F.col("r.dateFiled")).alias("filed"), text.absolute_url(F.col("r.absolute_url"), base).alias("url"), snippet.alias("snippet"), F.length(snippet).alias("chars"), "r.score")
+    return out.orderBy(F.desc_nulls_last("score"), "docket_number").limit(max(1, min(50, limit))).drop("score")
+
+
+def court(registry: DataFrame, court_id: str) -> DataFrame:
+    """The registry rows of one court, as the id is compared; an id with other characters than letters, digits, dots, dashes
+    and underscores is an error."""
+    wanted = court_id.strip().lower()
+    if not re.fullmatch(r"[a-z0-9._-]{1,80}", wanted):
+        raise ValueError(f"{court_id!r} is no court id")
+    return registry.filter(F.lower(F.trim("court_id")) == wanted)
+
+
 def atom_entries(spark: SparkSession, path: str) -> DataFrame:
     """(title, link, published, author, category, summary) of Atom files; entries without an alternate link are dropped."""
     e = spark.read.format("xml").option("rowTag", "entry").schema(ATOM_SCHEMA).load(path)

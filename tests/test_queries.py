@@ -7,13 +7,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from docketry.plans import core_problems, records, statistics
+from docketry.plans import core_problems, lists, records, statistics
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that the smallest tables say too little for.
 LARGER = {"p3_zone_recall": "/root/testdata/sf0.01"}
-QUERIES = {n: f for m in (statistics, records, core_problems) for n, f in m.QUERIES.items()}
-ORACLE = {n: s for m in (statistics, records, core_problems) for n, s in m.ORACLE.items()}
+QUERIES = {n: f for m in (statistics, records, lists, core_problems) for n, f in m.QUERIES.items()}
+ORACLE = {n: s for m in (statistics, records, lists, core_problems) for n, s in m.ORACLE.items()}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
