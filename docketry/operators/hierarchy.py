@@ -9,8 +9,10 @@ whose walk never ends lie on, or run into, a cycle without a stop; they are solv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from docketry.session import drop_materialized, materialize
 
 #: One node in so many is a splitter.
 SPACING = 8
+#: Nodes of a reduced graph, or of loops, up to which one task follows them.
+ONE_TASK = 200_000
 
 
 def node_id(col: Column) -> Column:
@@ -84,6 +88,48 @@ def _cycles(loose: DataFrame, name: str) -> DataFrame:
     return now.join(ends, "to").join(on, "id", "left").select("id", "cycle_id", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
+def _chased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_walk() and _cycles() of all steps of a task, which are ONE_TASK at most, each node followed once."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    step = {r["id"]: r for r in rows}
+    ended: dict[str, tuple] = {}
+    looped: dict[str, tuple] = {}
+    for first in step:
+        trail, at, here = [], first, {}
+        while at not in ended and at not in looped and at not in here and not step[at]["stop"]:
+            here[at] = len(trail)
+            trail.append(at)
+            at = step[at]["to"]
+        if at in here:
+            ring = trail[here[at] :]
+            least = min(step[x]["low"] for x in ring)
+            looped |= {x: (least, True) for x in ring}
+            trail = trail[: here[at]]
+        elif at not in ended and at not in looped:
+            ended[at] = (step[at]["to"], step[at]["seg"])
+        for x in reversed(trail):
+            to = step[x]["to"]
+            if to in looped:
+                looped[x] = (looped[to][0], False)
+            else:
+                ended[x] = (ended[to][0], step[x]["seg"] + ended[to][1])
+    out = [{"id": x, "to": e[0], "seg": e[1], "cycle_id": None, "on_cycle": None} for x, e in ended.items()] + [{"id": x, "to": None, "seg": [], "cycle_id": c[0], "on_cycle": c[1]} for x, c in looped.items()]
+    for i in range(0, len(out), 10_000):
+        yield pa.RecordBatch.from_pylist(out[i : i + 10_000], schema=pa.schema([("id", pa.string()), ("to", pa.string()), ("seg", pa.list_(pa.string())), ("cycle_id", pa.string()), ("on_cycle", pa.bool_())]))
+
+
+def _followed(steps: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, to, seg) of steps whose walks end, and (id, cycle_id, on_cycle) of those that don't: in one task if there are few
+    steps, else by doubling, with the same answer."""
+    steps = materialize(steps.select("id", "to", "seg", "low", "stop"), name)
+    if steps.count() <= ONE_TASK:
+        done = materialize(steps.coalesce(1).mapInArrow(_chased, "id string, to string, seg array<string>, cycle_id string, on_cycle boolean"), name)
+        return done.filter("cycle_id is null").select("id", "to", "seg"), done.filter("cycle_id is not null").select("id", "cycle_id", "on_cycle")
+    ended, loose = _walk(steps, name)
+    first = loose.select("id").join(steps.select("id", "to", "low"), "id")
+    return ended.select("id", "to", "seg"), materialize(_cycles(first, name), name)
+
+
 @dataclass(frozen=True)
 class _Solved:
     """links; ended: every node's walk to its next splitter or its root; reduced: the splitters' walks among them, solved as
@@ -107,8 +153,8 @@ def _solve(links: DataFrame, spacing: int, paths: bool) -> _Solved:
     # a root's own step ends at once, at no node
     ended, bare = _walk(steps.unionByName(links.filter("parent is null").select(*step(F.lit(True)))), "walk")
 
-    first_steps = bare.select("id").join(links, "id").select("id", F.col("parent").alias("to"), F.col("id").alias("low"))
-    of_bare = materialize(_cycles(first_steps, "bare"), "bare")
+    first_steps = bare.select("id").join(links, "id").select("id", F.col("parent").alias("to"), F.array().cast("array<string>").alias("seg"), F.col("id").alias("low"), F.lit(False).alias("stop"))
+    _, of_bare = _followed(first_steps, "bare")
 
     # the reduced graph: splitters that walks ended at, with their own walks, or the root's empty one
     splitters = ended.filter(F.col("to").isNotNull()).select(F.col("to").alias("id")).distinct()
@@ -119,11 +165,10 @@ def _solve(links: DataFrame, spacing: int, paths: bool) -> _Solved:
     if paths:
         # the splitters alone: what lies between them is put in again where a path is asked for
         reduced = reduced.withColumn("seg", F.array("id"))
-    solved, looped = _walk(reduced, "reduced")
+    solved, of_splitters = _followed(reduced, "reduced")
 
     # Cycles with splitters come from the reduced graph, those without from the walks that never end. A splitter may
     # also lead to a splitterless cycle. All walks that end at a splitter share its cycle. Lows are those of whole walks.
-    of_splitters = materialize(_cycles(looped.select("id").join(own.select("id", "to", "low"), "id"), "loops"), "loops")
     ring = own.join(of_splitters.filter("on_cycle").select("id"), "id").select(F.explode("seg").alias("id"), F.lit(True).alias("_on"))
     via = solved.filter(F.col("to").isNotNull()).join(of_bare.select(F.col("id").alias("to"), "cycle_id"), "to").select("id", "cycle_id")
     caught = via.unionByName(of_splitters.select("id", "cycle_id")).unionByName(of_bare.select("id", "cycle_id"))

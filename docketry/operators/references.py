@@ -63,8 +63,8 @@ def key_runs(parents: DataFrame) -> DataFrame:
     return keyed.withColumn("_island", island).groupBy("parent", "slice", "_island").agg(F.min("key").alias("start"), F.max("key").alias("stop"), F.max("since").alias("newest")).drop("_island")
 
 
-def reference_states(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """State of every referred key that has a problem.
+def reference_states(refs: DataFrame, parents: DataFrame) -> tuple[DataFrame, int]:
+    """State of every referred key that has a problem, and the most references that one of them may have.
 
     refs: (parent, key, at); parents: (parent, key, since). Gives (parent, key, n, found, since): n counts its references, found is false where the
     key lies beyond the end of the run that starts at or before it; else since is when the key came, and some reference
@@ -94,7 +94,7 @@ def reference_states(refs: DataFrame, parents: DataFrame) -> DataFrame:
     open_ = suspects.filter(~single).select("parent", "key", "n", "found", "first_at")
     since = parents.groupBy("parent", "key").agg(F.min("since").alias("since"))
     exact = open_.join(since, ["parent", "key"]).filter(F.col("since") > F.col("first_at")).select("parent", "key", "n", "found", "since")
-    return sure.unionByName(exact)
+    return sure.unionByName(exact), suspects.agg(F.max("n")).first()[0] or 0
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -105,9 +105,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     after the row that refers to it. A null or blank ref is no reference; a null time is never late; an empty parent
     table makes every reference missing; repeated rows are the caller's to dedupe."""
     keyed = refs if "key" in refs.columns else keyed_references(refs)
-    states = materialize(reference_states(keyed, _with_key(parents.select("parent", "ref", "since")).drop("ref")), "states")
+    states, most = reference_states(keyed, _with_key(parents.select("parent", "ref", "since")).drop("ref"))
     # The problem keys are few; the rows of one key are spread over salts, so that no task gets a hot key whole.
-    salts = max(1, -(-(states.agg(F.max("n")).first()[0] or 0) // SALT_ROWS))
+    salts = max(1, -(-most // SALT_ROWS))
     salted = states.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = keyed.withColumn("salt", F.pmod(F.xxhash64("rec_id", "src_field"), F.lit(salts)).cast("int"))
     state = F.when(~F.col("found"), "missing").when(F.col("since") > F.col("at"), "late")

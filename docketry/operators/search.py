@@ -55,8 +55,9 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def stored(postings: DataFrame) -> DataFrame:
-    """Postings as a table in the shared folder, in the order of their stems: a search reads the row groups of its own."""
-    return materialize(postings.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
+    """Postings as a table in the shared folder, a stem's together and files in the order of stems: a search reads the row
+    groups of its own."""
+    return materialize(postings.repartition("term").sortWithinPartitions("term", "id"), "postings")
 
 
 def corpus(postings: DataFrame) -> tuple[int, float]:

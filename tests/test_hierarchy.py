@@ -27,8 +27,9 @@ def solved(spark, parent, spacing):
     return {r["id"]: ("path", r["path"]) if r["path"] is not None else ("loop", r["cycle_id"], r["on_cycle"]) for r in H.hierarchy(links, spacing).collect()}
 
 
-@pytest.mark.parametrize("seed,spacing", [(1, 2), (2, 3), (3, 8), (4, 1000)])
-def test_random_graphs_match_brute_force(spark, seed, spacing):
+@pytest.mark.parametrize("seed,spacing,one_task", [(1, 2, 200_000), (2, 3, 0), (3, 8, 200_000), (4, 1000, 0), (8, 1000, 200_000)])
+def test_random_graphs_match_brute_force(spark, monkeypatch, seed, spacing, one_task):
+    monkeypatch.setattr(H, "ONE_TASK", one_task)
     r = random.Random(seed)
     ids = [f"n{i}" for i in range(120)]
     parent = {i: r.choice([None, r.choice(ids), r.choice(ids), r.choice(ids)]) for i in ids}
@@ -72,6 +73,7 @@ def test_counts_and_cycles_of_random_graphs(spark, seed, spacing):
 def test_many_short_loops_take_few_rounds(spark, monkeypatch):
     tables = []
     plain = H.materialize
+    monkeypatch.setattr(H, "ONE_TASK", 0)
     monkeypatch.setattr(H, "materialize", lambda df, name="t": tables.append(name) or plain(df, name))
     parent = {f"l{i}{s}": f"l{i}{t}" for i in range(400) for s, t in (("a", "b"), ("b", "a"))}
     assert H.cycles(spark.createDataFrame(list(parent.items()), "id string, parent string"), 1000).count() == 800
