@@ -21,6 +21,8 @@ from docketry.llm import names as N
 from docketry.llm.components import components
 from docketry.session import materialize
 
+#: Spellings whose families share a bucket, about.
+BUCKET_FORMS = 5_000
 #: Jaccard similarity of the q-grams below which the spellings of bodies are not compared.
 BODY_GRAM_SHARE = 0.3
 #: Soft weighted token similarity that links two spellings, and how much nearer the best of several must be.
@@ -136,6 +138,8 @@ def _score(pairs: DataFrame, left: DataFrame, right: DataFrame, nicknames: dict[
     """pairs with score and against; left and right are weigh()'s."""
     a, b = (x.select("scope", F.col("form").alias(f"form_{c}"), F.col("weights").alias(f"weights_{c}")) for c, x in (("a", left), ("b", right)))
     both = pairs.join(a, ["scope", "form_a"]).join(b, ["scope", "form_b"]).select("scope", "form_a", "form_b", "weights_a", "weights_b")
+    # pairs are few bytes and much work, so they are spread over all cores and not merged by size
+    both = both.repartition(3 * both.sparkSession.sparkContext.defaultParallelism)
     return both.mapInArrow(_scored(nicknames), "scope string, form_a string, form_b string, score double, against boolean")
 
 
@@ -144,7 +148,14 @@ def _entities(nicknames: dict[str, tuple[str, ...]]):
     placed. What is compared grows with the links, not with the square of the nodes."""
 
     def solve(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        """The families of a bucket, one after another."""
         given = N.Given(nicknames)
+        of = dict(tuple(links.groupby("family")))
+        none = links.iloc[:0]
+        solved = [family(part, of.get(name, none), given) for name, part in rows.groupby("family")]
+        return pd.concat(solved) if solved else pd.DataFrame(columns=["scope", "form", "number_key", "root"])
+
+    def family(rows: pd.DataFrame, links: pd.DataFrame, given: N.Given) -> pd.DataFrame:
         forms, numbers = rows["form"].tolist(), [set(x) for x in rows["numbers"]]
         read = {f: N.from_form(f) for f in set(forms)}
         near: dict[str, list[tuple[str, float]]] = {f: [(f, 1.0)] for f in read}
@@ -229,7 +240,10 @@ def entities(rows: DataFrame, id_col: str, scope: list[Column], text: Column, nu
     nodes = with_form.groupBy("scope", "form", "number_key").agg(F.first("numbers").alias("numbers"), F.count("*").alias("n"))
     placed = nodes.withColumn("id", key("form")).join(family, "id", "left").withColumn("family", F.coalesce("component", "id"))
     edges = alike.withColumn("id", key("form_a")).join(family, "id").select(F.col("component").alias("family"), "form_a", "form_b", "score")
-    solved = placed.select("scope", "form", "number_key", "numbers", "n", "family").groupBy("family").cogroup(edges.groupBy("family"))
+    # whole families share a bucket, so that a task is worth its start
+    buckets = max(1, min(100_000, forms.count() // BUCKET_FORMS), rows.sparkSession.sparkContext.defaultParallelism)
+    bucket = F.pmod(F.xxhash64("family"), F.lit(buckets)).alias("bucket")
+    solved = placed.select("scope", "form", "number_key", "numbers", "n", "family", bucket).groupBy("bucket").cogroup(edges.select("*", bucket).groupBy("bucket"))
     solved = materialize(solved.applyInPandas(_entities(nicknames), "scope string, form string, number_key string, root string"), "entities")
     whole = tagged.join(solved, ["scope", "form", "number_key"], "left")
     least = whole.filter(F.col("root").isNotNull()).groupBy("scope", "root").agg(F.min("id").alias("entity"))
