@@ -117,15 +117,16 @@ def _scored(nicknames: dict[str, tuple[str, ...]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given, known = N.Given(nicknames), {}
 
-        def read(form: str, weights: list) -> tuple[N.Name, dict[str, float]]:
+        def read(form: str, weights: pa.Array, row: int) -> tuple[N.Name, dict[str, float]]:
             if form not in known:
-                known[form] = (N.from_form(form), dict(weights))
+                known[form] = (N.from_form(form), dict(weights[row].as_py()))
             return known[form]
 
         for batch in batches:
             score, against = [], []
-            for a, b, wa, wb in zip(*[batch.column(c).to_pylist() for c in ("form_a", "form_b", "weights_a", "weights_b")], strict=True):
-                (x, of_x), (y, of_y) = read(a, wa), read(b, wb)
+            weights_a, weights_b = batch.column("weights_a"), batch.column("weights_b")
+            for i, (a, b) in enumerate(zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True)):
+                (x, of_x), (y, of_y) = read(a, weights_a, i), read(b, weights_b, i)
                 s = N.likeness(x, y, lambda t: of_x.get(t) or of_y[t], given)  # noqa: B023
                 score.append(s)
                 against.append(s < 1 and N.contradict(x, y, given))
@@ -138,8 +139,9 @@ def _score(pairs: DataFrame, left: DataFrame, right: DataFrame, nicknames: dict[
     """pairs with score and against; left and right are weigh()'s."""
     a, b = (x.select("scope", F.col("form").alias(f"form_{c}"), F.col("weights").alias(f"weights_{c}")) for c, x in (("a", left), ("b", right)))
     both = pairs.join(a, ["scope", "form_a"]).join(b, ["scope", "form_b"]).select("scope", "form_a", "form_b", "weights_a", "weights_b")
-    # pairs are few bytes and much work, so they are spread over all cores and not merged by size
-    both = both.repartition(3 * both.sparkSession.sparkContext.defaultParallelism)
+    # pairs are few bytes and much work, so they are spread over all cores and not merged by size; those of one spelling
+    # together, as what was read and compared is kept
+    both = both.repartition(2 * both.sparkSession.sparkContext.defaultParallelism, "scope", "form_b")
     return both.mapInArrow(_scored(nicknames), "scope string, form_a string, form_b string, score double, against boolean")
 
 
