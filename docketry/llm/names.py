@@ -160,6 +160,22 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether edits(a, b) is 1 at most, without counting further."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    if len(a) > len(b):
+        return a[i + 1 :] == b[i:]
+    if len(a) < len(b):
+        return a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+
+
 def closeness(a: str, b: str) -> float:
     """1 less the share of letters to edit, as typed or with confused letter pairs folded, whichever is nearer."""
     best = 1 - edits(a, b) / max(len(a), len(b), 1)
@@ -183,14 +199,14 @@ class Given:
         out = {given, *self.nicknames.get(given, ())}
         if len(given) >= 3 and given not in self.nicknames and given not in self.short:
             for short, full in self.nicknames.items():
-                if len(short) >= 4 and edits(given, short) == 1:
+                if len(short) >= 4 and within_one(given, short):
                     out.update(full)
         return frozenset(out)
 
     def _letters_of(self, given: str) -> tuple[frozenset[str], frozenset[str]]:
         """Letters a given name may be written with: its own and its full forms', and those of its short forms."""
         forms = self.forms_of(given)
-        near = {f for g in forms if len(g) >= 5 for f in self.short if edits(g, f) <= 1}
+        near = {f for g in forms if len(g) >= 5 for f in self.short if within_one(g, f)}
         return frozenset(f[0] for f in forms), frozenset(s[0] for f in forms | near for s in self.short.get(f, ()))
 
     def closeness(self, a: str, b: str) -> float:

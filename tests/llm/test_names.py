@@ -22,6 +22,10 @@ def test_likeness():
     same = [("Orsolya Dulesby", "Dulesby, O."), ("Bob Yainnixez", "Robert C. Yainnixez"), ("Dulesby", "Judge Orsolya V. Dulesby"), ("Wernman, Ambrose", "Ambrose Wemman"), ("Ksetrel Tralliñ", "Tralllin, Kestrel P."), ("T. Rolathara", "Anthony Rolathara"), ("Yaltamn Co. Crime Lab", "Crime Laboratory of Yaltman County")]
     other = [("Yolanda Jirnesez", "Nathaniel Jirnesez"), ("Ursula A. Trundernman", "Ursula D. Trundernman"), ("Yaltman County Crime Laboratory", "Yaltman County Public Defender"), ("John Smith, Jr.", "John Smith, Sr."), ("Per Curiam", "Per Curiam"), ("Yaltman County Crime Lab", "Breathosby County Crime Lab")]
     assert all(like(a, b) >= L.LINK for a, b in same) and all(like(a, b) < L.LINK for a, b in other)
+    import itertools
+
+    few = ["".join(x) for n in range(5) for x in itertools.product("ab", repeat=n)] + ["abcd", "abdc", "acbd", "bacd", "abcde"]
+    assert all(N.within_one(a, b) == (N.edits(a, b) <= 1) for a in few for b in few)
     assert N.edits("abcd", "abdc") == 1 and N.edits("", "ab") == 2 and N.edits("vockez", "vckez") == 1
 
 
