@@ -16,6 +16,7 @@ from docketry.operators import authority, evidence
 from docketry.operators.similar import similar_pairs
 from docketry.operators.upsert import inserted
 from docketry.rules.compile import flags
+from docketry.session import materialize
 
 #: Similarity of normal forms from which a name is taken for a registered one.
 SIMILAR = 0.86
@@ -150,10 +151,12 @@ def run_cases(contexts: DataFrame, placed: DataFrame, opinions: DataFrame, discl
     gaps."""
     count = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
     texts = opinions.filter("full_text is not null").join(contexts.select("case_id"), "case_id", "left_semi")
-    leads = evidence.expected_items(texts, ["case_id"], "full_text").distinct()
+    # texts are read for leads once, though leads are counted and held against what was disclosed; and what was screened is a
+    # table, so that the last plan joins counts alone
+    leads = materialize(evidence.expected_items(texts, ["case_id"], "full_text").distinct(), "leads")
     best = links.join(scores.select("actor_id", "score"), "actor_id").groupBy("case_id").agg(F.max("score").alias("best_score"))
     parts = [placed.select("case_id", (F.col("forum") != "unknown").alias("has_forum")), count(leads, "n_leads"), count(evidence.gaps(leads, disclosed), "n_gaps"), count(flags(contexts, rules, ["case_id"]), "n_flags"), count(links, "n_links"), best]
-    out = screen(contexts, placed, opinions, catalogs, gaps_before)
+    out = materialize(screen(contexts, placed, opinions, catalogs, gaps_before), "screened")
     for p in parts:
         out = out.join(p, "case_id", "left")
     out = out.na.fill(0, ["n_texts", "n_leads", "n_gaps", "n_flags", "n_links"])

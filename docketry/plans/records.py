@@ -495,7 +495,7 @@ def pipeline_runs(spark: SparkSession, d: str) -> DataFrame:
     contexts, links = materialize(_context(spark, d), "contexts"), materialize(_links(spark, d)[0], "links")
     courts = _placements(spark, d)
     none = spark.createDataFrame([], "actor_id string, prosecutor_id string, label string, review_status string")
-    scores = register.scores(_actors(spark, d).select("actor_id", "prosecutor_id"), _findings(spark, d), none, AS_OF)
+    scores = materialize(register.scores(_actors(spark, d).select("actor_id", "prosecutor_id"), _findings(spark, d), none, AS_OF), "scores")
     opinions = view(spark, d, "opinions", "case_id", "full_text").filter("case_id is not null")
     placed = materialize(C.placed(c, courts, tuple(x for x, _ in FORUMS)).select("case_id", "forum", "forum_level"), "placed")
     runs = pipeline.run_cases(contexts, placed, opinions, view(spark, d, "disclosed", "case_id", "item_type", "description"), links, scores, RULES)

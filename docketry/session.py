@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,12 +121,28 @@ class Files:
         fs.delete(where, True)
 
 
+_MADE: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that materialize() wrote within it: for long sessions, around a query and the writing of
+    its result. Results that were not written are not readable afterwards."""
+    first = len(_MADE)
+    try:
+        yield
+    finally:
+        while len(_MADE) > first:
+            _remove(spark, _MADE.pop())
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, is compressed and columnar,
-    and stays readable when executors are lost. The table is removed when the process ends."""
+    and stays readable when executors are lost. The table is removed at the end of scratch(), else of the process."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{_PREFIX}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -230,3 +230,15 @@ def test_every_code_point_is_decoded(spark):
 
     df = spark.createDataFrame([("&#128512;|&#65279;|&#55296;|&#1114112;|&#65;&amp;lt;",)], "t string")
     assert df.select(decode_entities(F.col("t")).alias("d")).first()["d"] == "\U0001f600|\ufeff|&#55296;|&#1114112;|A&lt;"
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    from docketry.session import materialize, scratch, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        assert materialize(spark.range(3), "gone").count() == 3 and set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) == before
